@@ -29,11 +29,11 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", first
     while True:
         head = still.withColumns({"chunk": F.substring("rest", 1, width), "ended": F.length("rest") <= width})
         by = ["group", "chunk", "ended"]
-        # A group's number is fixed by being written; groups of one need none.
+        # A group's number is fixed by being written; groups of one need none. They grow with the input, so they are never broadcast.
         groups = written(head.groupBy(*by).agg(F.count("*").alias("n"), F.max("key").alias("keep")).filter("n > 1").withColumn("next", F.monotonically_increasing_id()))
         settled = F.col("n").isNull() | F.col("ended")
         split = written(
-            head.join(groups, by, "left").select(
+            head.join(groups.hint("merge"), by, "left").select(
                 "key", "text_sha256", settled.alias("settled"), "next",
                 F.coalesce("n", F.lit(1)).alias("group_size"), F.when(F.col("n").isNull(), F.col("key")).otherwise(F.col("keep")).alias("keep_id"),
                 F.when(~settled, F.substring("rest", width + 1, 2**31 - 1 - width)).alias("rest"),
@@ -52,7 +52,7 @@ def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """docs with one row of each group of equal texts: the one with the largest key, and any one of repeated rows. Rows with a null key stay only if their text has no other row with a key."""
     groups = exact_groups(docs, key, text).select(F.col(key).alias("__key"), "kept").filter("__key IS NOT NULL")
     counts = written(groups.groupBy("__key").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).filter("NOT kept OR n > 1"))
-    out = docs.join(counts.filter("NOT kept").select("__key"), F.col(key) == F.col("__key"), "left_anti")
+    out = docs.join(counts.filter("NOT kept").select("__key").hint("merge"), F.col(key) == F.col("__key"), "left_anti")
     again = counts.filter("n > 1").select("__key")
     if not again.isEmpty():
         repeated = out.join(again, F.col(key) == F.col("__key"), "left_semi").dropDuplicates([key, text])
