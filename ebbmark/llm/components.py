@@ -13,10 +13,10 @@ def components(links: DataFrame) -> DataFrame:
     both = written(links.filter("a <> b").select("a", "b").union(links.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")))
     while True:
-        around = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("component").alias("near"))
-        lower = labels.join(around, labels.id == around.a, "left").select("id", "component", F.least("component", F.coalesce("near", "component")).alias("next"))
+        around = both.join(labels.hint("merge"), both.b == labels.id).groupBy("a").agg(F.min("component").alias("near"))
+        lower = labels.join(around.hint("merge"), labels.id == around.a, "left").select("id", "component", F.least("component", F.coalesce("near", "component")).alias("next"))
         jump = lower.select(F.col("id").alias("via"), F.col("next").alias("far"))
-        new = written(lower.join(jump, lower.next == jump.via, "left").select("id", F.least("next", F.coalesce("far", "next")).alias("now"), "component"))
+        new = written(lower.join(jump.hint("merge"), lower.next == jump.via, "left").select("id", F.least("next", F.coalesce("far", "next")).alias("now"), "component"))
         labels = new.select("id", F.col("now").alias("component"))
         if new.filter("now <> component").isEmpty():
             return labels

@@ -135,21 +135,21 @@ def bucket_rows(nodes: DataFrame) -> DataFrame:
     """(bucket, n, id) for all buckets with at least two documents, of nodes (id, halves), each set of members once."""
     halves = nodes.select("id", F.posexplode("halves").alias("k", "h"))
     shared = halves.groupBy("k", "h").agg(F.count("*").alias("n")).filter("n > 1").select("k", "h")
-    mine = halves.join(shared, ["k", "h"]).groupBy("id").agg(F.collect_list(F.struct("k", "h")).alias("halves"))  # at most 24 for an id
+    mine = halves.join(shared.hint("merge"), ["k", "h"]).groupBy("id").agg(F.collect_list(F.struct("k", "h")).alias("halves"))  # at most 24 for an id
     first, second = F.filter("halves", lambda x: x["k"] < PAIRS), F.filter("halves", lambda x: x["k"] >= PAIRS)
     key = lambda a, b: F.struct((a["k"] * PAIRS + b["k"]).alias("table"), a["h"].alias("first"), b["h"].alias("second"))
     keys = F.flatten(F.transform(first, lambda a: F.transform(second, lambda b: key(a, b))))
     rows = written(mine.select("id", F.explode(keys).alias("bucket")))
     sums = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s"), F.min("id").alias("least"), F.max("id").alias("most")).filter("n > 1")
     once = sums.groupBy("n", "s", "least", "most").agg(F.min("bucket").alias("bucket"))
-    return rows.join(once.select("bucket", "n"), "bucket").select("bucket", "n", "id")
+    return rows.join(once.select("bucket", "n").hint("merge"), "bucket").select("bucket", "n", "id")
 
 
 def blocks(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """(bucket, block, members) of the buckets that hold several components. rows: bucket, n, id, sketch, size."""
-    known = rows.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    known = rows.join(labels.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_ = known.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("bucket")
-    dealt = known.join(open_, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)))
+    dealt = known.join(open_.hint("merge"), "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)))
     return dealt.groupBy("bucket", "block").agg(F.collect_list(F.struct("id", "component", "size", "sketch")).alias("members"))
 
 
@@ -199,8 +199,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         kept = pa.array(kept, pa.bool_())
         return pa.RecordBatch.from_arrays([batch.column("a").filter(kept), batch.column("b").filter(kept)], names=["a", "b"])
 
-    left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
-    both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
+    left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")).hint("merge"), "a")
+    both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")).hint("merge"), "b").select("a", "b", "x", "y")
     return map_batches(both, run, "a long, b long")
 
 
@@ -239,7 +239,7 @@ def _cross(batch: pa.RecordBatch) -> pa.RecordBatch:
 def text_blocks(rows: DataFrame, by: str, as_: str) -> DataFrame:
     """(by, block, as_): the rows (by, id, text) of a group in blocks of about BLOCK_BYTES."""
     sums = rows.groupBy(by).agg(F.sum(F.length("text") + 64).alias("__size"))
-    dealt = rows.join(sums, by).withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("__size") / BLOCK_BYTES)))
+    dealt = rows.join(sums.hint("merge"), by).withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("__size") / BLOCK_BYTES)))
     return dealt.groupBy(by, "block").agg(F.collect_list(F.struct("id", "text")).alias(as_))
 
 
@@ -247,12 +247,12 @@ def rest_links(blocks_: DataFrame, labels: DataFrame, texts: DataFrame) -> DataF
     """Links (a, b) that join the components still apart, complete for the candidates of all block pairs."""
     left = blocks_.select("bucket", F.col("block").alias("k1"), F.col("members").alias("m1"))
     right = blocks_.select("bucket", F.col("block").alias("k2"), F.col("members").alias("m2"))
-    asked = written(map_batches(left.join(right, "bucket").filter("k1 <= k2").select("m1", "m2"), _adjacent, "id long, component long").distinct())
-    asking = text_blocks(asked.join(texts, "id"), "component", "ask")
+    asked = written(map_batches(left.join(right.hint("merge"), "bucket").filter("k1 <= k2").select("m1", "m2"), _adjacent, "id long, component long").distinct())
+    asking = text_blocks(asked.join(texts.hint("merge"), "id"), "component", "ask")
     wanted = asked.select("component").distinct()
-    member_ids = texts.select("id").join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component")).join(wanted, "component", "left_semi")
-    member = text_blocks(member_ids.join(texts, "id"), "component", "member")
-    return map_batches(asking.select("component", "ask").join(member.select("component", "member"), "component").select("ask", "member"), _cross, "a long, b long")
+    member_ids = texts.select("id").join(labels.hint("merge"), "id", "left").select("id", F.coalesce("component", "id").alias("component")).join(wanted.hint("merge"), "component", "left_semi")
+    member = text_blocks(member_ids.join(texts.hint("merge"), "id"), "component", "member")
+    return map_batches(asking.select("component", "ask").join(member.select("component", "member").hint("merge"), "component").select("ask", "member"), _cross, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -263,9 +263,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     classes = whole.groupBy("digest", "n_shingles").agg(F.min(F.struct("key", "mark")).alias("one"), F.first("sketch").alias("sketch"), F.first("halves").alias("halves"))
     nodes = written(classes.select("digest", F.col("n_shingles").alias("size"), "one.key", "one.mark", "sketch", "halves").withColumn("id", F.monotonically_increasing_id()))
     buckets = bucket_rows(nodes)
-    members = written(buckets.join(nodes.select("id", "sketch", "size"), "id"))
-    wanted = nodes.join(members.select("id").distinct(), "id", "left_semi").select("id", "key", "mark")
-    texts = written(_marked(docs, key, text).join(wanted, ["key", "mark"]).select("id", "text"))
+    members = written(buckets.join(nodes.select("id", "sketch", "size").hint("merge"), "id"))
+    wanted = nodes.join(members.select("id").distinct().hint("merge"), "id", "left_semi").select("id", "key", "mark")
+    texts = written(_marked(docs, key, text).join(wanted.hint("merge"), ["key", "mark"]).select("id", "text"))
     links = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "id long, component long")
     for _ in range(ROUNDS):
@@ -275,19 +275,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         links = links.union(new)
         labels = components(links)
     rest = written(rest_links(written(blocks(members, labels)), labels, texts))
-    node_of = rows.select("key", "digest", "n_shingles").join(nodes.select("digest", F.col("size").alias("n_shingles"), "id"), ["digest", "n_shingles"], "left")
+    node_of = rows.select("key", "digest", "n_shingles").join(nodes.select("digest", F.col("size").alias("n_shingles"), "id").hint("merge"), ["digest", "n_shingles"], "left")
     # A key with several texts links their nodes.
     several = node_of.filter("key IS NOT NULL AND id IS NOT NULL").groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a <> z")
-    same_key = node_of.join(several, "key").filter("id <> a").select("a", F.col("id").alias("b"))
+    same_key = node_of.join(several.hint("merge"), "key").filter("id <> a").select("a", F.col("id").alias("b"))
     final = components(links.union(rest).union(same_key))
-    placed = nodes.select("id", "key").join(final, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = nodes.select("id", "key").join(final.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = placed.groupBy("component").agg(F.min("key").alias("component_id"))
-    named = placed.select("id", "component").join(least, "component").select("id", "component_id")
-    out = node_of.join(named, "id", "left").withColumn("component_id", F.when(F.col("key").isNotNull(), F.coalesce("component_id", "key")))
+    named = placed.select("id", "component").join(least.hint("merge"), "component").select("id", "component_id")
+    out = node_of.join(named.hint("merge"), "id", "left").withColumn("component_id", F.when(F.col("key").isNotNull(), F.coalesce("component_id", "key")))
     return out.select(F.col("key").alias(key), "n_shingles", "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the rows whose component has a smaller key. Rows of an equal key stay together."""
     dropped = near_duplicates(docs, key, text).filter("NOT kept").select(F.col(key).alias("__key")).distinct()
-    return docs.join(dropped, F.col(key) == F.col("__key"), "left_anti")
+    return docs.join(dropped.hint("merge"), F.col(key) == F.col("__key"), "left_anti")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exactdup, mixing, neardup, tokenfiles
+from . import bpe, chat, exactdup, html_extract, media, mixing, neardup, tokenfiles, toxicity, warc
 from .shared import shared_dir, text_of
 
 RANKS, VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html_extract.extract(table(spark, sf_dir, "pages"), column="text")
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), RANKS)
 
@@ -25,6 +30,17 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", F.round("rate", 9).alias("rate"), F.col("copies").cast("long").alias("copies"), F.col("copy").cast("long").alias("copy"), "place")
 
 
+def held_out(key: str = "doc_id"):
+    return F.pmod(F.crc32(F.col(key).cast("string")), F.lit(5)) == 0
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    lexicon = toxicity.learn(docs, labels.filter(~held_out()))
+    scored = toxicity.score(docs.select("doc_id", "text"), lexicon, column="score")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
@@ -41,17 +57,27 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark)
+    warc.write_archive(table(spark, sf_dir, "pages"), folder)
+    return warc.read_archive(spark, folder)
+
+
 def op8_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_media(media.sniff(media.stored_media(table(spark, sf_dir, "documents"))))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark)
     tokenfiles.write_token_files(table(spark, sf_dir, "documents"), folder, VOCABULARY)
     return tokenfiles.read_token_files(spark, folder)
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_mixing, op5_chat, op6_near_duplicates, op8_exact_duplicates, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_byte_bpe, op3_mixing, op4_toxicity, op5_chat, op6_near_duplicates, op7_warc, op8_exact_duplicates, op9_media, op10_token_files)}
 
 ORACLES = {
     "op3_mixing": f"""
@@ -80,6 +106,13 @@ ORACLES = {
         )
         SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(said) AS loss_chars, sha256(said) AS loss_sha256, formatted::BIGINT AS formatted_chars FROM whole
     """,
+    "op7_warc": f"""
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, coalesce(html, '') AS html FROM pages),
+        m AS (SELECT page_id, n, sha1(html) AS d, max(page_id) OVER (PARTITION BY html) AS last FROM p)
+        SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN n >= {warc.LEAST_SHARED} AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN n >= {warc.LEAST_SHARED} AND page_id < last THEN last END AS refers_to
+        FROM m
+    """,
     "op8_exact_duplicates": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
