@@ -35,7 +35,7 @@ def skyline(deletes: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     cut = pieces(real, width, least, most).withColumns({
         "first": F.coalesce("first", F.greatest(_start("bucket", width), F.lit(least))),
         "last": F.coalesce("last", F.least(_last("bucket", width), F.lit(most))),
-    })
+    }).persist()  # fmt: skip  # four branches below read it
     points = cut.select("bucket", F.col("first").alias("p")).union(cut.filter(F.col("last") < MOST).select("bucket", (F.col("last") + 1).alias("p"))).distinct()
     spans = points.withColumn("q", F.lead("p").over(Window.partitionBy("bucket").orderBy("p")) - 1).filter("q IS NOT NULL")
     rest = cut.groupBy("bucket").agg(F.max("last").alias("end"))
@@ -67,7 +67,7 @@ def union(*sets: DataFrame) -> DataFrame:
     out = rows[0]
     for r in rows[1:]:
         out = out.unionAll(r)
-    return skyline(out)
+    return skyline(out.persist())  # it is read several times, and may itself be a long plan
 
 
 def clip(steps: DataFrame, t1: int | None = None, t2: int | None = None) -> DataFrame:
