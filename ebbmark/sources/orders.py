@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The columns of an order-book file, their types, and the values of its two enumerations.
@@ -36,15 +36,19 @@ def synthetic(spark: SparkSession, n: int, seed: int = 0, disorder: float = 0.05
     kind = u("kind")
     gap = F.when(kind < 0.6, 1 + u("gap") * 499).when(kind < 0.9, 500 + u("gap") * 199_500).otherwise(200_000 + u("gap") * 4_800_000)
     gap = F.greatest(F.lit(1), F.when(u("burst") < 0.05, gap / 10).otherwise(gap).cast("long"))
-    # Mean gaps make the timeline, so that event k needs no sum over those before it; jitter keeps gaps' spread.
-    mean = 297_000
+    # The timeline is the running sum of gaps: within chunks of events, and over the sums of chunks, which are few.
+    chunk = 1 << 16
+    gaps = spark.range(n).select("id", gap.alias("gap"), F.floor(F.col("id") / chunk).alias("chunk"))
+    sums = gaps.groupBy("chunk").agg(F.sum("gap").alias("total"))
+    before = sums.select("chunk", (F.sum("total").over(Window.orderBy("chunk")) - F.col("total")).alias("before"))
+    timeline = gaps.join(before, "chunk").select("id", (F.col("before") + F.sum("gap").over(Window.partitionBy("chunk").orderBy("id"))).alias("at"))
     back = F.when(u("late") < disorder, (u("back") * 500_000).cast("long")).otherwise(0)
     order, step = F.floor(F.col("id") / 3).cast("long"), F.col("id") % 3
     ticker = F.floor(u("ticker", "order_id") * tickers).cast("int")
     return (
-        spark.range(n).withColumns({"order_id": order, "step": step})
+        timeline.withColumns({"order_id": order, "step": step})
         .withColumns({
-            "timestamp": F.lit(START_NS) + F.col("id") * mean + gap - back, "ticker": F.concat(F.lit("T"), F.lpad(ticker.cast("string"), 3, "0")),
+            "timestamp": F.lit(START_NS) + F.col("at") - back, "ticker": F.concat(F.lit("T"), F.lpad(ticker.cast("string"), 3, "0")),
             "direction": F.when(u("direction", "order_id") < 0.5, "BUY").otherwise("SELL"), "status": F.element_at(F.array(*map(F.lit, STATUSES)), (F.col("step") + 1).cast("int")),
             "amount": (10 + u("amount") * 14_990).cast("long"), "ask_price": F.round(10 + u("price", "order_id") * 490, 6),
         })
