@@ -9,8 +9,8 @@ words (fewer words: the whole sequence). Documents are linked where 100 * |inter
 2. Documents with equal sets become one. Buckets with the same members become one.
 3. Rounds of links: buckets are dealt in blocks of bounded size; in a block each document finds its most similar partner
    of another component, by minhashes; that pair is verified on the texts; components merge.
-4. The rest, exactly: for each pair of blocks of a bucket, documents name the other components in which some document may
-   be similar enough. Those documents are then compared in full with every document of those components, block by block.
+4. The rest, exactly: candidate pairs of different components hold documents together in families. In a family every
+   document outside of the largest component is compared in full with every document, block of texts by block of texts.
    So no pair of documents is a row, a large group meets in no task, and no candidate is dropped.
 
 Null or empty texts, and texts without words, have an empty set and no links. Rows with a null id have no links. Rows of
@@ -38,7 +38,7 @@ EQUAL = 21
 #: Documents of a block of minhashes, and bytes of text in a block of texts.
 BLOCK, BLOCK_BYTES = 512, 1 << 21
 #: Rounds of step 3.
-ROUNDS = 2
+ROUNDS = 1
 
 _random = np.random.default_rng(20_240_501)
 _BYTE = _random.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -204,55 +204,73 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_batches(both, run, "a long, b long")
 
 
-def _adjacent(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """(id, component) to compare in full. Of two components, documents of the one with fewer members here ask."""
+class _Forest:
+    """Union-find; join says whether two were apart."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.up[x] = y
+        return x != y
+
+
+def _families(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Of all candidate pairs of two blocks, as many as hold the same documents together: fewer than there are documents."""
     out: set[tuple[int, int]] = set()
     for m1, m2 in zip(batch.column("m1").to_pylist(), batch.column("m2").to_pylist(), strict=True):
-        left, right = _unpack(m1), _unpack(m2)
-        values, inverse, counts = np.unique(np.concatenate((left[1], right[1])), return_inverse=True, return_counts=True)
-        n1, n2 = counts[inverse[: len(left[1])]], counts[inverse[len(left[1]) :]]
+        left, right, forest = _unpack(m1), _unpack(m2), _Forest()
         for i, j, _ in _may(left, right):
-            asks = (n1[i] < n2[j]) | ((n1[i] == n2[j]) & (left[1][i] > right[1][j]))
-            pairs = np.concatenate((np.stack((left[0][i], right[1][j]), 1)[asks], np.stack((right[0][j], left[1][i]), 1)[~asks]))
-            out.update(map(tuple, np.unique(pairs, axis=0).tolist()))
-    return arrays({"id": pa.int64(), "component": pa.int64()}, {"id": [x for x, _ in out], "component": [c for _, c in out]})
+            for x, y in zip(left[0][i].tolist(), right[0][j].tolist(), strict=True):
+                if forest.join(x, y):
+                    out.add((x, y))
+    return arrays({"a": pa.int64(), "b": pa.int64()}, {"a": [x for x, _ in out], "b": [y for _, y in out]})
 
 
 def _cross(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Documents of ask against documents of member, each linked pair once; one link for each asking document and block is enough to merge components."""
-    a, b = [], []
+    """Documents of ask against all of member, on full sets: as many of the links between components as merge the same ones."""
+    out: list[tuple[int, int]] = []
     for ask, member in zip(batch.column("ask").to_pylist(), batch.column("member").to_pylist(), strict=True):
-        sets = [shingles(m["text"]) for m in member]
-        sizes = np.array([len(s) for s in sets])
+        forest, sets = _Forest(), [shingles(m["text"]) for m in member]
+        sizes, comps = np.array([len(s) for s in sets]), np.array([m["component"] for m in member])
         all_, starts = np.concatenate(sets), np.concatenate(([0], np.cumsum(sizes)[:-1]))
         for q in ask:
             mine = shingles(q["text"])
             at = np.minimum(np.searchsorted(mine, all_), len(mine) - 1)
             common = np.add.reduceat((mine[at] == all_).astype(np.int64), starts)
-            hit = np.flatnonzero(linked(common, len(mine), sizes))
-            if len(hit):
-                a.append(q["id"])
-                b.append(member[int(hit[0])]["id"])
-    return arrays({"a": pa.int64(), "b": pa.int64()}, {"a": a, "b": b})
+            for k in np.flatnonzero(linked(common, len(mine), sizes) & (comps != q["component"])).tolist():
+                if forest.join(q["component"], int(comps[k])):
+                    out.append((q["id"], member[k]["id"]))
+    return arrays({"a": pa.int64(), "b": pa.int64()}, {"a": [x for x, _ in out], "b": [y for _, y in out]})
 
 
-def text_blocks(rows: DataFrame, by: str, as_: str) -> DataFrame:
-    """(by, block, as_): the rows (by, id, text) of a group in blocks of about BLOCK_BYTES."""
-    sums = rows.groupBy(by).agg(F.sum(F.length("text") + 64).alias("__size"))
-    dealt = rows.join(sums.hint("merge"), by).withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("__size") / BLOCK_BYTES)))
-    return dealt.groupBy(by, "block").agg(F.collect_list(F.struct("id", "text")).alias(as_))
+def text_blocks(rows: DataFrame, as_: str) -> DataFrame:
+    """(family, block, as_): the rows (family, id, component, text) of a family in blocks of about BLOCK_BYTES."""
+    sums = rows.groupBy("family").agg(F.sum(F.length("text") + 64).alias("__size"))
+    dealt = rows.join(sums.hint("merge"), "family").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("__size") / BLOCK_BYTES)))
+    return dealt.groupBy("family", "block").agg(F.collect_list(F.struct("id", "component", "text")).alias(as_))
 
 
 def rest_links(blocks_: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) that join the components still apart, complete for the candidates of all block pairs."""
+    """Links (a, b) that join all components that a candidate pair of any two blocks of a bucket may join."""
     left = blocks_.select("bucket", F.col("block").alias("k1"), F.col("members").alias("m1"))
     right = blocks_.select("bucket", F.col("block").alias("k2"), F.col("members").alias("m2"))
-    asked = written(map_batches(left.join(right.hint("merge"), "bucket").filter("k1 <= k2").select("m1", "m2"), _adjacent, "id long, component long").distinct())
-    asking = text_blocks(asked.join(texts.hint("merge"), "id"), "component", "ask")
-    wanted = asked.select("component").distinct()
-    member_ids = texts.select("id").join(labels.hint("merge"), "id", "left").select("id", F.coalesce("component", "id").alias("component")).join(wanted.hint("merge"), "component", "left_semi")
-    member = text_blocks(member_ids.join(texts.hint("merge"), "id"), "component", "member")
-    return map_batches(asking.select("component", "ask").join(member.select("component", "member").hint("merge"), "component").select("ask", "member"), _cross, "a long, b long")
+    pairs = written(map_batches(left.join(right.hint("merge"), "bucket").filter("k1 <= k2").select("m1", "m2"), _families, "a long, b long"))
+    families = components(pairs).withColumnRenamed("component", "family")
+    rows = written(families.join(labels.hint("merge"), "id", "left").select("id", "family", F.coalesce("component", "id").alias("component")).join(texts.hint("merge"), "id"))
+    # A pair of different components has at least one document outside of the family's largest component: that one asks.
+    counts = rows.groupBy("family", "component").agg(F.count("*").alias("n"))
+    largest = counts.groupBy("family").agg(F.max(F.struct("n", "component")).alias("largest")).select("family", F.col("largest.component").alias("largest"))
+    asking = rows.join(largest.hint("merge"), "family").filter("component <> largest").drop("largest")
+    both = text_blocks(asking, "ask").select("family", "ask").join(text_blocks(rows, "member").select("family", "member").hint("merge"), "family")
+    return map_batches(both.select("ask", "member"), _cross, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
