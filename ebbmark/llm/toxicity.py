@@ -28,7 +28,9 @@ from .neardup import shingles
 from .shared import arrays, map_batches, text_of, written
 
 #: Labelled rows to train on, terms in the lexicon, and candidate terms, at most.
-SAMPLE, TERMS, CANDIDATES = 30_000, 20_000, 200_000
+SAMPLE, TERMS, CANDIDATES = 30_000, 20_000, 60_000
+#: Toxic training documents that must hold a candidate; with fewer none can be beyond chance.
+SEEN = 4
 #: Lengths of word beginnings that can be terms.
 SHORT, LONG = 4, 8
 
@@ -156,12 +158,12 @@ def _choose(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> dict[
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """A lexicon from labelled rows. labels: key and label (1 toxic, 0 not)."""
     rows = training_rows(docs, labels, key, text, label, sample)
-    first = _counts(rows.filter("label = 1"), None).groupBy("term").agg(F.sum("n").alias("n")).filter("n >= 3")
-    among = {r["term"] for r in first.orderBy(F.desc("n"), "term").limit(CANDIDATES).collect()}
+    first = _counts(rows.filter("label = 1"), None).groupBy("term").agg(F.sum("n").alias("n")).filter(f"n >= {SEEN}")
+    among = {r["term"] for r in first.orderBy(F.desc("n"), "term").limit(CANDIDATES).select("term").collect()}
     n_rows = {(r["fit"], r["label"]): r["n"] for r in rows.groupBy((F.col("part") == 4).alias("fit"), "label").agg(F.count("*").alias("n")).collect()}
-    by: dict[str, list[int]] = {t: [0, 0, 0, 0] for t in among}
-    for r in _counts(rows, among).collect():
-        by[r["term"]][2 * r["fit"] + (r["label"] == 0)] += r["n"]
+    cell = lambda fit, label: F.sum(F.when((F.col("fit") == fit) & (F.col("label") == label), F.col("n")).otherwise(0))
+    table = _counts(rows, among).groupBy("term").agg(cell(False, 1).alias("a"), cell(False, 0).alias("b"), cell(True, 1).alias("c"), cell(True, 0).alias("d"))
+    by = {r["term"]: (r["a"], r["b"], r["c"], r["d"]) for r in table.toLocalIterator()}
     fit, rest = (lambda y: n_rows.get((True, y), 0)), (lambda y: n_rows.get((False, y), 0))
     trial = Lexicon(_choose({t: (c[0], c[1]) for t, c in by.items()}, rest(1), rest(0)), exceptions)
     final = Lexicon(_choose({t: (c[0] + c[2], c[1] + c[3]) for t, c in by.items()}, rest(1) + fit(1), rest(0) + fit(0)), exceptions)
