@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from datetime import datetime, timedelta
+
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # The ends of the timestamp range, both legal data, and ticks of a second in each unit.
@@ -10,9 +12,17 @@ LEAST, MOST = -(2**63), 2**63 - 1
 TICKS = {"s": 1, "ms": 1_000, "us": 1_000_000, "ns": 1_000_000_000}
 
 
-def micros(column: Column | str) -> Column:
-    """A timestamp (with or without zone) as 64-bit microseconds; the session's time zone must be UTC."""
-    return F.unix_micros((F.col(column) if isinstance(column, str) else column).cast("timestamp"))
+def micros(name: str) -> Column:
+    """A timestamp column as 64-bit microseconds since 1970. One without zone is read as UTC, whatever the session's zone is."""
+    session = SparkSession.getActiveSession()
+    if session is None or session.conf.get("spark.sql.session.timeZone") in ("UTC", "Etc/UTC", "GMT", "Z"):
+        return F.unix_micros(F.col(name).cast("timestamp"))
+    return F.expr(f"(unix_date(CAST({name} AS DATE)) * 86400L + hour({name}) * 3600L + minute({name}) * 60L) * 1000000L + CAST(extract(SECOND FROM {name}) * 1000000 AS BIGINT)")
+
+
+def ntz(ts: int) -> str:
+    """Microseconds as a literal of a timestamp without zone, for filters that reach the reader of such a column."""
+    return f"TIMESTAMP_NTZ '{datetime(1970, 1, 1) + timedelta(microseconds=ts)}'"
 
 
 def floor_div(name: str, b: int) -> Column:

@@ -42,9 +42,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events_log(spark: SparkSession, sf_dir: str, t1: int | None = None, t2: int | None = None) -> DataFrame:
+    """Rows with t1 <= ts < t2. The bounds are also filters on the stored column, as Parquet can't skip by a computed one."""
     e = table(spark, sf_dir, "events")
     n = e.count()
+    e = e.filter(f"ts >= {scalar.ntz(t1)}") if t1 is not None else e
+    e = e.filter(f"ts < {scalar.ntz(t2)}") if t2 is not None else e
     return e.select((2 * (F.col("event_id") * 7919 % n + 1)).alias("seq"), micros("ts").alias("ts"), F.col("event_id").alias("rid"), "user_id", "event_type", "value")
 
 
@@ -82,8 +85,7 @@ def with_log(body: str, log: str = EVENTS, ranges=DELETES, snapshot: str | None
 
 
 def view(spark: SparkSession, sf_dir: str, t1=None, t2=None, snapshot=None) -> DataFrame:
-    rows = events_log(spark, sf_dir)
-    return visible(rows, deletes(spark, rows), t1, t2, snapshot)
+    return visible(events_log(spark, sf_dir, t1, t2), deletes(spark, table(spark, sf_dir, "events")), t1, t2, snapshot)
 
 
 # Scans
