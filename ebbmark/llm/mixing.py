@@ -74,8 +74,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float |
     rates = rates.select("__source", "rate", poisson_steps(F.col("rate")).alias("__steps"))
     rows = docs.select(*[c for c in docs.columns if c not in names])
     joined = rows.join(F.broadcast(rates) if few else rates, F.col(source).eqNullSafe(F.col("__source")))
-    # Inversion: the count is the number of steps at or below the uniform number.
-    drawn = joined.withColumn("__u", uniform(seed, "count", key)).withColumn("copies", F.size(F.filter("__steps", lambda s: s <= F.col("__u"))))
+    # Inversion: the count is the number of steps at or below the uniform number, which is where the number after it sorts.
+    behind = uniform(seed, "count", key) + 1
+    drawn = joined.withColumn("__u", behind).withColumn("copies", (F.array_position(F.sort_array(F.array_append("__steps", F.col("__u"))), F.col("__u")) - 1).cast("int"))
     copied = drawn.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("__source", "__steps", "__u")
     placed = copied.withColumn("place", uniform(seed, "place", key, "copy"))
     spread = placed.repartitionByRange(partitions, "place") if partitions else placed.repartition(F.pmod(F.col("place"), F.lit(1 << 20)))
