@@ -13,9 +13,11 @@ equal id are in the order of their ids' bytes.
 
 from __future__ import annotations
 
+import itertools
 import json
 import uuid
 import zlib
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ def filesystem(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder.replace("file:/", "file:///", 1) if folder.startswith("file:/") and not folder.startswith("file://") else folder)
 
 
-def put(folder: str, name: str, parts: list[bytes]) -> None:
+def put(folder: str, name: str, parts: Iterable[bytes]) -> None:
     """A whole file, written under a temporary name and then renamed; one that is there is replaced."""
     store, path = filesystem(folder)
     store.create_dir(path, recursive=True)
@@ -80,19 +82,22 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, key: str = "
         return arrays({"shard": pa.int32(), "key": pa.int64(), "ids": pa.binary()}, {"shard": where, "key": keys, "ids": ids})
 
     def saved(batches):
-        parts, keys, sizes, shard = [], [], [], None
-        for batch in batches:
-            if batch.num_rows:
-                shard = batch.column("shard")[0].as_py()
-                keys += batch.column("key").to_pylist()
+        full = (b for b in batches if b.num_rows)
+        if (first := next(full, None)) is None:
+            return
+        shard, keys, sizes = first.column("shard")[0].as_py(), [], []
+
+        def parts():
+            for batch in itertools.chain([first], full):
+                keys.extend(batch.column("key").to_pylist())
                 new = batch.column("ids").to_pylist()
-                sizes += [len(x) // kind.itemsize for x in new]
-                parts.append(b"".join(new))
-        if shard is not None:
-            starts = np.cumsum([0, *sizes], dtype="<i8")
-            put(folder, f"{shard:05}.bin", parts)
-            put(folder, f"{shard:05}.idx", [np.array(keys, "<i8").tobytes(), starts.tobytes()])
-            yield arrays({"shard": pa.int32(), "first": pa.int64(), "documents": pa.int64(), "tokens": pa.int64()}, {"shard": [shard], "first": [keys[0]], "documents": [len(keys)], "tokens": [int(starts[-1])]})
+                sizes.extend(len(x) // kind.itemsize for x in new)
+                yield b"".join(new)
+
+        put(folder, f"{shard:05}.bin", parts())
+        starts = np.cumsum([0, *sizes], dtype="<i8")
+        put(folder, f"{shard:05}.idx", [np.array(keys, "<i8").tobytes(), starts.tobytes()])
+        yield arrays({"shard": pa.int32(), "first": pa.int64(), "documents": pa.int64(), "tokens": pa.int64()}, {"shard": [shard], "first": [keys[0]], "documents": [len(keys)], "tokens": [int(starts[-1])]})
 
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LEAST)).alias("key"), text_of(text).alias("text"))
     dealt = map_batches(rows, encoded, "shard int, key long, ids binary").repartitionById(len(bounds) + 1, "shard")
