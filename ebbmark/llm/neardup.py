@@ -229,8 +229,13 @@ def _families(batch: pa.RecordBatch) -> pa.RecordBatch:
         left, right, forest = _unpack(m1), _unpack(m2), _Forest()
         for i, j, _ in _may(left, right):
             for x, y in zip(left[0][i].tolist(), right[0][j].tolist(), strict=True):
-                if forest.join(x, y):
-                    out.add((x, y))
+                forest.join(x, y)
+        least: dict[int, int] = {}
+        held = sorted({*forest.up, *forest.up.values()})
+        for x in held:
+            least.setdefault(forest.root(x), x)
+        # Each document with the least of its family, so that many blocks give the same few links.
+        out.update((least[forest.root(x)], x) for x in held if least[forest.root(x)] != x)
     return arrays({"a": pa.int64(), "b": pa.int64()}, {"a": [x for x, _ in out], "b": [y for _, y in out]})
 
 
