@@ -19,6 +19,8 @@ one id are one node: it has the links of each of its texts.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,6 +39,8 @@ LEAST = 75
 EQUAL = 21
 #: Documents of a block of minhashes, and bytes of text in a block of texts.
 BLOCK, BLOCK_BYTES = 512, 1 << 21
+#: Documents that the families of a task hold before they are written as links.
+HELD = 500_000
 #: Rounds of step 3.
 ROUNDS = 1
 
@@ -222,21 +226,41 @@ class _Forest:
         return x != y
 
 
-def _families(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Of all candidate pairs of two blocks, as many as hold the same documents together: fewer than there are documents."""
-    out: set[tuple[int, int]] = set()
-    for m1, m2 in zip(batch.column("m1").to_pylist(), batch.column("m2").to_pylist(), strict=True):
-        left, right, forest = _unpack(m1), _unpack(m2), _Forest()
-        for i, j, _ in _may(left, right):
-            for x, y in zip(left[0][i].tolist(), right[0][j].tolist(), strict=True):
-                forest.join(x, y)
+class _Families:
+    """Of all candidate pairs of a task's blocks, as many as hold the same documents together: fewer than there are documents.
+
+    One forest serves all batches of a task, so that a bucket of many blocks names its documents once, not once for each pair
+    of blocks. It is emptied into links when it holds HELD documents, which bounds memory.
+    """
+
+    def __init__(self):
+        self.forest = _Forest()
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        for m1, m2 in zip(batch.column("m1").to_pylist(), batch.column("m2").to_pylist(), strict=True):
+            left, right = _unpack(m1), _unpack(m2)
+            for i, j, _ in _may(left, right):
+                for x, y in zip(left[0][i].tolist(), right[0][j].tolist(), strict=True):
+                    self.forest.join(x, y)
+
+    def links(self) -> pa.RecordBatch:
+        """Each document with the least of its family; the forest is empty after."""
         least: dict[int, int] = {}
-        held = sorted({*forest.up, *forest.up.values()})
+        held = sorted({*self.forest.up, *self.forest.up.values()})
         for x in held:
-            least.setdefault(forest.root(x), x)
-        # Each document with the least of its family, so that many blocks give the same few links.
-        out.update((least[forest.root(x)], x) for x in held if least[forest.root(x)] != x)
-    return arrays({"a": pa.int64(), "b": pa.int64()}, {"a": [x for x, _ in out], "b": [y for _, y in out]})
+            least.setdefault(self.forest.root(x), x)
+        out = [(least[self.forest.root(x)], x) for x in held if least[self.forest.root(x)] != x]
+        self.forest = _Forest()
+        return arrays({"a": pa.int64(), "b": pa.int64()}, {"a": [x for x, _ in out], "b": [y for _, y in out]})
+
+
+def _families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = _Families()
+    for batch in batches:
+        found.add(batch)
+        if len(found.forest.up) > HELD:
+            yield found.links()
+    yield found.links()
 
 
 def _cross(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -267,7 +291,7 @@ def rest_links(blocks_: DataFrame, labels: DataFrame, texts: DataFrame) -> DataF
     """Links (a, b) that join all components that a candidate pair of any two blocks of a bucket may join."""
     left = blocks_.select("bucket", F.col("block").alias("k1"), F.col("members").alias("m1"))
     right = blocks_.select("bucket", F.col("block").alias("k2"), F.col("members").alias("m2"))
-    pairs = written(map_batches(left.join(right.hint("merge"), "bucket").filter("k1 <= k2").select("m1", "m2"), _families, "a long, b long"))
+    pairs = written(left.join(right.hint("merge"), "bucket").filter("k1 <= k2").select("m1", "m2").mapInArrow(_families, "a long, b long"))
     families = components(pairs).withColumnRenamed("component", "family")
     rows = written(families.join(labels.hint("merge"), "id", "left").select("id", "family", F.coalesce("component", "id").alias("component")).join(texts.hint("merge"), "id"))
     # A pair of different components has at least one document outside of the family's largest component: that one asks.
