@@ -128,7 +128,7 @@ def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
             halves.append(None if least is None else least.view(np.int32))
         return arrays(types, {"key": batch.column("key").to_pylist(), "mark": batch.column("mark").to_pylist(), "n_shingles": n, "digest": digest, "sketch": sketch, "halves": halves})
 
-    return map_batches(_marked(docs, key, text), run, "key long, mark long, n_shingles long, digest string, sketch binary, halves array<int>")
+    return map_batches(_marked(docs, key, text), run, "key long, mark long, n_shingles long, digest string, sketch binary, halves array<int>", rows=256)
 
 
 def _marked(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -188,7 +188,7 @@ def _best(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 def best_partners(blocks_: DataFrame) -> DataFrame:
     """(a, b) with a < b: for each document the partner with most equal minhashes of another component in its blocks."""
-    found = map_batches(blocks_.select("members"), _best, "a long, b long, equal long")
+    found = map_batches(blocks_.select("members"), _best, "a long, b long, equal long", rows=64)
     one = found.groupBy("a").agg(F.max_by("b", F.struct("equal", "b")).alias("b"))
     return one.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -205,7 +205,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")).hint("merge"), "a")
     both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")).hint("merge"), "b").select("a", "b", "x", "y")
-    return map_batches(both, run, "a long, b long")
+    return map_batches(both, run, "a long, b long", rows=64)
 
 
 class _Forest:
@@ -257,7 +257,8 @@ class _Families:
 def _families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found = _Families()
     for batch in batches:
-        found.add(batch)
+        for a in range(0, batch.num_rows, 16):
+            found.add(batch.slice(a, 16))
         if len(found.forest.up) > HELD:
             yield found.links()
     yield found.links()
@@ -299,7 +300,7 @@ def rest_links(blocks_: DataFrame, labels: DataFrame, texts: DataFrame) -> DataF
     largest = counts.groupBy("family").agg(F.max(F.struct("n", "component")).alias("largest")).select("family", F.col("largest.component").alias("largest"))
     asking = rows.join(largest.hint("merge"), "family").filter("component <> largest").drop("largest")
     both = text_blocks(asking, "ask").select("family", "ask").join(text_blocks(rows, "member").select("family", "member").hint("merge"), "family")
-    return map_batches(both.select("ask", "member"), _cross, "a long, b long")
+    return map_batches(both.select("ask", "member"), _cross, "a long, b long", rows=1)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

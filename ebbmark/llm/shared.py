@@ -32,13 +32,14 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """function on each Arrow batch; a batch that gives None gives no rows."""
+def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = 1 << 20) -> DataFrame:
+    """function on each Arrow batch, at most rows at once; a batch that gives None gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := function(batch)) is not None:
-                yield out
+            for a in range(0, batch.num_rows, rows):
+                if (out := function(batch.slice(a, rows))) is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
 
