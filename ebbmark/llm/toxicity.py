@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 from .neardup import shingles
 from .shared import arrays, map_batches, text_of, written
 
-#: Labelled rows to train on, terms in the lexicon, and candidate terms, at most.
-SAMPLE, TERMS, CANDIDATES = 30_000, 20_000, 60_000
-#: Toxic training documents that must hold a candidate; with fewer none can be beyond chance.
-SEEN = 4
+#: Labelled rows to train on, and terms in the lexicon, at most.
+SAMPLE, TERMS = 30_000, 20_000
+#: Rows whose terms are counted in Python before Spark adds them up.
+COUNTED = 256
 #: Lengths of word beginnings that can be terms.
 SHORT, LONG = 4, 8
 
@@ -125,32 +125,53 @@ def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label
     return written(marked.dropDuplicates(["mark", "label"]).withColumn("part", F.pmod(F.xxhash64("mark"), F.lit(5))))
 
 
-def _counts(rows: DataFrame, among: set[str] | None) -> DataFrame:
-    """(term, fit, label, n): documents with a term; fit is whether they are of part 4. Counted in each batch first."""
+def _counts(rows: DataFrame) -> DataFrame:
+    """(term, a, b, c, d): documents with a term, for all terms of toxic documents: toxic and others outside part 4, toxic and others in it."""
     types = {"term": pa.string(), "fit": pa.bool_(), "label": pa.int32(), "n": pa.int64()}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         n: Counter = Counter()
         for part, label, x in zip(*(batch.column(c).to_pylist() for c in ("part", "label", "text")), strict=True):
-            found = _terms(x)
-            n.update((t, part == 4, label) for t in (found if among is None else found & among))
+            n.update((t, part == 4, label) for t in _terms(x))
         return arrays(types, {"term": [k[0] for k in n], "fit": [k[1] for k in n], "label": [k[2] for k in n], "n": list(n.values())})
 
-    return map_batches(rows.select("part", "label", "text"), run, "term string, fit boolean, label int, n long").groupBy("term", "fit", "label").agg(F.sum("n").alias("n"))
+    cell = lambda fit, label: F.sum(F.when((F.col("fit") == fit) & (F.col("label") == label), F.col("n")).otherwise(0))
+    found = map_batches(rows.select("part", "label", "text"), run, "term string, fit boolean, label int, n long", COUNTED)
+    table = found.groupBy("term").agg(cell(False, 1).alias("a"), cell(False, 0).alias("b"), cell(True, 1).alias("c"), cell(True, 0).alias("d"))
+    return written(table.filter("a + c > 0"))
+
+
+def _floor(held: dict[int, int], toxic: int, prior: float) -> tuple[int, float]:
+    """The least number of toxic documents with which a term can be beyond chance, and the log likelihood ratio it needs among the terms that reach it. held: terms by their number of toxic documents."""
+    many = sum(held.values())
+    for least in range(1, toxic + 1):
+        need = math.log(max(2, many)) + 2
+        if least * -math.log(prior) >= need:
+            return least, need
+        many -= held.get(least, 0)
+    return toxic + 1, math.inf
 
 
-def _choose(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> dict[str, float]:
-    """Terms whose share of toxic documents is beyond chance among so many candidates, with their log odds; a longer term only where it says more than its beginnings."""
+def _beyond_chance(table: DataFrame, p: str, n: str, toxic: int, clean: int) -> dict[str, float]:
+    """Terms whose share of toxic documents is beyond chance among all that can be, with their log odds. p, n: SQL for a term's toxic and other documents."""
     if not toxic or not clean:
         return {}
-    prior, need, chosen = toxic / (toxic + clean), math.log(max(2, len(counts))) + 2, {}
-    for term, (p, n) in sorted(counts.items(), key=lambda x: (len(x[0]), x[0])):
-        rate = p / (p + n) if p else 0.0
-        if rate <= prior:
-            continue
-        ratio = p * math.log(rate / prior) + (n * math.log((1 - rate) / (1 - prior)) if n else 0.0)
-        weight = math.log((p + 0.5) / (toxic + 1)) - math.log((n + 0.5) / (clean + 1))
-        if ratio >= need and weight > 1 and not any(chosen.get(term[:k], 0.0) >= weight - 0.7 for k in range(SHORT + 1, len(term))):
+    prior, counted = toxic / (toxic + clean), table.selectExpr("term", f"{p} AS p", f"{n} AS n").filter("p > 0")
+    least, need = _floor({r["p"]: r["count"] for r in counted.groupBy("p").count().collect()}, toxic, prior)
+    if least > toxic:
+        return {}
+    rate = F.col("p") / (F.col("p") + F.col("n"))
+    ratio = F.col("p") * F.log(rate / prior) + F.when(F.col("n") > 0, F.col("n") * F.log((1 - rate) / (1 - prior))).otherwise(0.0)
+    weight = F.log((F.col("p") + 0.5) / (toxic + 1)) - F.log((F.col("n") + 0.5) / (clean + 1))
+    passed = counted.filter((F.col("p") >= least) & (rate > prior) & (ratio >= need) & (weight > 1))
+    return {r["term"]: r["weight"] for r in passed.select("term", weight.alias("weight")).collect()}
+
+
+def _choose(weights: dict[str, float]) -> dict[str, float]:
+    """Of the terms beyond chance, a longer one only where it says more than its beginnings."""
+    chosen: dict[str, float] = {}
+    for term, weight in sorted(weights.items(), key=lambda x: (len(x[0]), x[0])):
+        if not any(chosen.get(term[:k], 0.0) >= weight - 0.7 for k in range(SHORT + 1, len(term))):
             chosen[term] = weight
     return dict(sorted(chosen.items(), key=lambda x: (-x[1], x[0]))[:TERMS])
 
@@ -158,15 +179,11 @@ def _choose(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> dict[
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """A lexicon from labelled rows. labels: key and label (1 toxic, 0 not)."""
     rows = training_rows(docs, labels, key, text, label, sample)
-    first = _counts(rows.filter("label = 1"), None).groupBy("term").agg(F.sum("n").alias("n")).filter(f"n >= {SEEN}")
-    among = {r["term"] for r in first.orderBy(F.desc("n"), "term").limit(CANDIDATES).select("term").collect()}
     n_rows = {(r["fit"], r["label"]): r["n"] for r in rows.groupBy((F.col("part") == 4).alias("fit"), "label").agg(F.count("*").alias("n")).collect()}
-    cell = lambda fit, label: F.sum(F.when((F.col("fit") == fit) & (F.col("label") == label), F.col("n")).otherwise(0))
-    table = _counts(rows, among).groupBy("term").agg(cell(False, 1).alias("a"), cell(False, 0).alias("b"), cell(True, 1).alias("c"), cell(True, 0).alias("d"))
-    by = {r["term"]: (r["a"], r["b"], r["c"], r["d"]) for r in table.toLocalIterator()}
+    table = _counts(rows)
     fit, rest = (lambda y: n_rows.get((True, y), 0)), (lambda y: n_rows.get((False, y), 0))
-    trial = Lexicon(_choose({t: (c[0], c[1]) for t, c in by.items()}, rest(1), rest(0)), exceptions)
-    final = Lexicon(_choose({t: (c[0] + c[2], c[1] + c[3]) for t, c in by.items()}, rest(1) + fit(1), rest(0) + fit(0)), exceptions)
+    trial = Lexicon(_choose(_beyond_chance(table, "a", "b", rest(1), rest(0))), exceptions)
+    final = Lexicon(_choose(_beyond_chance(table, "a + c", "b + d", rest(1) + fit(1), rest(0) + fit(0))), exceptions)
     if fit(1) >= 5 and fit(0) >= 5:
         automaton = trial.automaton()
         points = np.array([(*signals(r["text"], automaton), r["label"]) for r in rows.filter("part = 4").select("text", "label").toLocalIterator()])

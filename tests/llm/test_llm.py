@@ -242,6 +242,21 @@ def test_learning_held_out(spark):
     assert any(t.startswith(" zork") for t in lex.terms)
 
 
+def test_learning_past_many_common_terms(spark):
+    r = random.Random(6)
+    words = sorted({"".join(r.choice("abcdefghijklmnopqrstuvwxy") for _ in range(9)) for _ in range(14_000)})
+    rows = [(k, " ".join([*r.sample(words, len(words)), *["zorkmid"] * (k % 2 and k % 8 > 1)]), k % 2) for k in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    assert len(set().union(*(toxicity._terms(x) for _, x, _ in rows))) > 70_000
+    assert any(t.startswith(" zork") for t in toxicity.learn(df.select("doc_id", "text"), df.select("doc_id", "toxic")).terms)
+
+
+def test_floor_of_terms():
+    held = {1: 90_000, 2: 9_000, 3: 900, 5: 10}
+    assert toxicity._floor(held, 20, 0.1) == (4, pytest.approx(4.302585))
+    assert toxicity._floor(held, 2, 0.5)[0] == 3 and toxicity._floor({}, 5, 0.01)[0] == 1
+
+
 def test_toxicity_odd(spark, odd, none):
     empty = spark.createDataFrame([], "doc_id long, toxic int")
     lex = toxicity.learn(odd, empty)
