@@ -3,7 +3,8 @@
 A page is read as blocks: runs of text between block tags, each with the path of its containers (tags with their
 classes, digits taken out). Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
 comments are left out by tag, role, and class or id words. Each container of a page is scored by the text of its blocks
-without links, its best path is the page's vote, and votes are summed by host in Spark. In a second pass each page is
+without links; the best one is widened to hold what lies beside it and has much text with few links, unless it is in an
+article or main element. Its path is the page's vote, and votes are summed by host in Spark. In a second pass each page is
 extracted by the path among its host's winners that it holds, or else by its own best path.
 
 Null html counts as empty; a page without text has an empty text. Null urls form one host. Votes are pre-aggregated, so a
@@ -24,6 +25,8 @@ from .shared import arrays, map_batches, text_of, written
 
 #: A path wins for a host with this share of the best path's votes.
 SHARE = 0.2
+#: Text beside a container belongs to it from this share of the container's text, or from so many characters.
+BESIDE, BESIDE_CHARACTERS = 0.1, 140
 #: Winning paths are broadcast up to so many characters in all; beyond, they are joined.
 MOST_BROADCAST = 4 << 20
 
@@ -183,8 +186,11 @@ def best_path(found: list[Block]) -> tuple[str, float]:
     """The path of the container that holds the main text, and its score; the path is empty for a page without text."""
     direct: dict[tuple[str, ...], float] = {}
     total: dict[tuple[str, ...], float] = {}
+    here: dict[tuple[str, ...], tuple[float, float]] = {}  # worth and length of the blocks right in a container
     for b in found:
         worth = max(0.0, len(b.text) - 2.0 * b.linked) + 1
+        a, n = here.get(b.path, (0.0, 0.0))
+        here[b.path] = a + worth, n + len(b.text)
         for back, part in enumerate((1.0, 0.5)):
             if len(b.path) > back:
                 up = b.path[: len(b.path) - back]
@@ -199,11 +205,30 @@ def best_path(found: list[Block]) -> tuple[str, float]:
             path = path[:k]
             break
     else:
+        path = _with_beside(path, here, total)
         while len(path) > 2 and total[path[:-1]] <= 1.25 * total[path]:
             path = path[:-1]
     return ">".join(path), total[path]
 
 
+def _with_beside(path: tuple[str, ...], here: dict[tuple[str, ...], tuple[float, float]], total: dict[tuple[str, ...], float]) -> tuple[str, ...]:
+    """The lowest container of path and of all text beside it that is substantial and has few links, at any level."""
+    beside: dict[tuple[int, tuple[str, ...]], tuple[float, float]] = {}  # by level of the common container and child of it; the container itself for text right in it
+    for other, (worth, length) in here.items():
+        level = 0
+        while level < min(len(path), len(other)) and path[level] == other[level]:
+            level += 1
+        if level < len(path):
+            a, n = beside.get((level, other[: level + 1]), (0.0, 0.0))
+            beside[level, other[: level + 1]] = a + worth, n + length
+    sums: dict[int, float] = {}
+    for (level, _), (worth, length) in beside.items():
+        if worth >= length / 2:
+            sums[level] = sums.get(level, 0.0) + worth
+    least = min(BESIDE * total[path], BESIDE_CHARACTERS)
+    return path[: min([level for level, worth in sums.items() if worth >= least], default=len(path))]
+
+
 def text_at(found: list[Block], path: str) -> str:
     want = tuple(path.split(">")) if path else ()
     return "\n".join(b.text for b in found if b.path[: len(want)] == want)

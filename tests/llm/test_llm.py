@@ -290,6 +290,26 @@ def test_hosts_agree(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+P = "<p>" + "words of the text, " * 12 + "</p>"
+LINKS = "<div class='more'>" + "<p><a href='/x'>Another story to read</a></p>" * 30 + "</div>"
+
+
+@pytest.mark.parametrize("page, parts", [
+    (f"<body><div class='post'><div class='lead'>{P * 4}</div><div class='body'>{P * 6}</div></div>{LINKS}</body>", 10),
+    (f"<body><div class='lead'>{P * 4}</div><div class='body'>{P * 6}</div>{LINKS}</body>", 10),
+    (f"<div class='lead'>{P * 4}</div><div class='body'>{P * 6}</div>{LINKS}", 10),
+    (f"<body><div class='content'>{P * 5}<table><tr><td>{P * 6}</table></div>{LINKS}</body>", 11),
+    (f"<body><div class='content'>{P * 5}<ul><li>{P * 6}</ul></div>{LINKS}</body>", 11),
+    (f"<body>{P * 5}<div class='rest'><div>{P * 2}</div><div class='end'>{P * 6}</div></div></body>", 13),
+])
+def test_split_pages_stay_whole(spark, page, parts):
+    want = html_extract.main_text(page, [])
+    assert want.count("words of the text, " * 11) == parts
+    assert "Another story" not in want or page.startswith(("<body><div class='lead'", "<div class='lead'"))
+    pages = spark.createDataFrame([(k, "http://split.org/a", page) for k in range(3)], "page_id long, url string, html string")
+    assert {r["main_text"] for r in html_extract.extract(pages).collect()} == {want}
+
+
 # Chats
 
 
