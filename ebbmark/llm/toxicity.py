@@ -5,7 +5,7 @@ characters and turns punctuation into spaces. Lexicon terms are beginnings of wo
 odds of toxic against other training documents that hold it. A match inside an exception phrase doesn't count. A
 document's score comes from its strongest match and from the sum of its matches divided by the root of its length.
 
-Training takes labelled rows alone: at most SAMPLE of them, the first by a hash of the key; near copies count once. The
+Training takes labelled rows alone: at most SAMPLE different ones, the first by a hash of the key; near copies count once. The
 lexicon learns on four parts of five of them and the two score coefficients on the fifth; then the lexicon learns on all.
 Null labels are no labels. With no labelled rows of both classes the lexicon is empty and every score is the prior.
 Null and empty texts get the score of a text without matches.
@@ -110,8 +110,12 @@ def _terms(text: str) -> set[str]:
 def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, sample: int) -> DataFrame:
     """(part, label, text) of a sample of labelled rows, near copies once. part: 4 for the rows that fit the coefficients."""
     known = labels.filter(F.col(label).isNotNull()).select(F.col(key).alias("__key"), F.col(label).cast("int").alias("label"))
-    known = written(known.orderBy(F.xxhash64("__key"), "__key").limit(sample).distinct())
-    rows = docs.select(F.col(key).alias("__key"), text_of(text).alias("text")).join(known, "__key")
+    known = written(known.distinct().orderBy(F.xxhash64("__key"), "__key", "label").limit(sample))
+    rows = docs.select(F.col(key).alias("__key"), text_of(text).alias("text")).join(known, "__key").distinct()
+    rows = written(rows.withColumn("__text", F.xxhash64("text")))
+    if rows.count() > sample:  # keys with several texts
+        by = ["__key", "label", "__text"]
+        rows = rows.join(rows.select(*by).orderBy(F.xxhash64("__key"), *by).limit(sample), by, "left_semi")
     types = {"mark": pa.int64(), "label": pa.int32(), "text": pa.string()}
 
     def mark(batch: pa.RecordBatch) -> pa.RecordBatch:

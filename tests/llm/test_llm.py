@@ -251,6 +251,14 @@ def test_learning_past_many_common_terms(spark):
     assert any(t.startswith(" zork") for t in toxicity.learn(df.select("doc_id", "text"), df.select("doc_id", "toxic")).terms)
 
 
+def test_sample_is_of_different_rows(spark):
+    docs = spark.createDataFrame([(k, f"{t} {k} one two three four", "") for k, t, _ in documents(4, 60)], SCHEMA)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60) for _ in range(25)], "doc_id long, toxic int").persist()
+    assert toxicity.training_rows(docs, labels, "doc_id", "text", "toxic", 20).count() >= 15
+    many = docs.unionByName(spark.createDataFrame([(k, f"{k} {n} other text of this key", "") for k in range(60) for n in range(30)], SCHEMA))
+    assert 0 < toxicity.training_rows(many, labels, "doc_id", "text", "toxic", 20).count() <= 20
+
+
 def test_floor_of_terms():
     held = {1: 90_000, 2: 9_000, 3: 900, 5: 10}
     assert toxicity._floor(held, 20, 0.1) == (4, pytest.approx(4.302585))
