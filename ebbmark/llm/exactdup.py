@@ -50,12 +50,15 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", first
 
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each group of equal texts: the one with the largest key, and any one of repeated rows. Rows with a null key stay only if their text has no other row with a key."""
-    groups = exact_groups(docs, key, text).select(F.col(key).alias("__key"), "kept").filter("__key IS NOT NULL")
+    groups = exact_groups(docs, key, text).select(F.col(key).alias("__key"), "kept", F.col("text_sha256").alias("__sha")).filter("__key IS NOT NULL")
     counts = written(groups.groupBy("__key").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).filter("NOT kept OR n > 1"))
     out = docs.join(counts.filter("NOT kept").select("__key").hint("merge"), F.col(key) == F.col("__key"), "left_anti")
     again = counts.filter("n > 1").select("__key")
     if not again.isEmpty():
-        repeated = out.join(again, F.col(key) == F.col("__key"), "left_semi").dropDuplicates([key, text])
+        # A key with several texts: each of its rows by its own decision.
+        lost = groups.filter("NOT kept").join(again, "__key", "left_semi").select(F.col("__key"), F.col("__sha").alias("__lost"))
+        repeated = out.join(again, F.col(key) == F.col("__key"), "left_semi").withColumn("__sha", F.sha2(text_of(text).cast("binary"), 256))
+        repeated = repeated.join(lost, (F.col(key) == F.col("__key")) & (F.col("__sha") == F.col("__lost")), "left_anti").dropDuplicates([key, "__sha"]).drop("__sha")
         out = out.join(again, F.col(key) == F.col("__key"), "left_anti").unionByName(repeated)
     nameless = exact_groups(docs, key, text).filter(f"`{key}` IS NULL AND keep_id IS NOT NULL").select(F.col("text_sha256").alias("__sha")) if docs.filter(F.col(key).isNull()).limit(1).count() else None
     if nameless is not None:

@@ -123,6 +123,12 @@ def test_exact_groups_odd(odd, none):
     assert sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 5, 6, 7, 8, 9, 10] and kept.columns == [*odd.columns, "kept"]
 
 
+def test_copies_under_a_key_of_several_texts(spark):
+    rows = [(1, "a", "x"), (1, "own", "x"), (2, "a", "x"), (1, None, "x"), (1, "", "x"), (2, "b", "x"), (3, "b", "x"), (4, "c", "x"), (4, "c", "x")]
+    kept = exactdup.drop_copies(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in kept) == [(1, ""), (1, "own"), (2, "a"), (3, "b"), (4, "c")]
+
+
 def brute(rows):
     sets, parent = {}, {}
     for k, t, _ in rows:
