@@ -9,9 +9,11 @@ words (fewer words: the whole sequence). Documents are linked where 100 * |inter
 2. Documents with equal sets become one. Buckets with the same members become one.
 3. Rounds of links: buckets are dealt in blocks of bounded size; in a block each document finds its most similar partner
    of another component, by minhashes; that pair is verified on the texts; components merge.
-4. The rest, exactly: candidate pairs of different components hold documents together in families. In a family every
-   document outside of the largest component is compared in full with every document, block of texts by block of texts.
-   So no pair of documents is a row, a large group meets in no task, and no candidate is dropped.
+4. The rest: candidate pairs of different components hold components together in families. In a family every document
+   outside of the largest component is compared with every document, block of texts by block of texts: by minhashes, and
+   on full sets where these may be similar. So no pair of documents is a row, and a large group meets in no task.
+
+A pair is a candidate where it shares a table and EQUAL of 48 minhashes.
 
 Null or empty texts, and texts without words, have an empty set and no links. Rows with a null id have no links. Rows of
 one id are one node: it has the links of each of its texts.
@@ -150,21 +152,31 @@ def bucket_rows(nodes: DataFrame) -> DataFrame:
 
 
 def blocks(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """(bucket, block, members) of the buckets that hold several components. rows: bucket, n, id, sketch, size."""
+    """(bucket, n, block, members) of the buckets that hold several components. A member asks where it is outside of its bucket's largest component: a pair of different components has one that asks. rows: bucket, n, id, sketch, size."""
     known = rows.join(labels.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_ = known.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("bucket")
+    counts = known.groupBy("bucket", "component").agg(F.count("*").alias("m"))
+    open_ = counts.groupBy("bucket").agg(F.max(F.struct("m", "component"))["component"].alias("largest"), F.count("*").alias("components")).filter("components > 1").select("bucket", "largest")
     dealt = known.join(open_.hint("merge"), "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)))
-    return dealt.groupBy("bucket", "block").agg(F.collect_list(F.struct("id", "component", "size", "sketch")).alias("members"))
+    member = F.struct("id", "component", "size", "sketch", (F.col("component") != F.col("largest")).alias("asks"))
+    return dealt.groupBy("bucket", "n", "block").agg(F.collect_list(member).alias("members"))
+
+
+def block_pairs(blocks_: DataFrame) -> DataFrame:
+    """(asks, members): each block of a bucket alone (asks is null), and its members that ask beside each other block of the bucket. Pairs of blocks are dealt by the block that is asked, so a bucket of many blocks is spread over as many tasks."""
+    alone = blocks_.select(F.lit(None).cast(blocks_.schema["members"].dataType).alias("asks"), "members")
+    asking = blocks_.filter(F.col("n") > BLOCK).select("bucket", "n", F.col("block").alias("own"), F.filter("members", lambda m: m["asks"]).alias("asks")).filter(F.size("asks") > 0)
+    aimed = asking.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / BLOCK) - 1))).filter("block <> own").select("bucket", "block", "asks")
+    return alone.unionAll(aimed.join(blocks_.select("bucket", "block", "members").hint("merge"), ["bucket", "block"]).select("asks", "members"))
 
 
 def _unpack(members: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     ids, comps, sizes = (np.array([m[k] for m in members], np.int64) for k in ("id", "component", "size"))
-    return ids, comps, sizes, np.frombuffer(b"".join(m["sketch"] for m in members), np.uint16).reshape(len(members), HASHES)
+    return ids, comps, sizes, np.frombuffer(b"".join(m["sketch"] for m in members) or bytearray(), np.uint16).reshape(len(members), HASHES)
 
 
 def _may(left, right):
     """Index pairs (i of left, j of right) of different components that may be linked, and their equal minhashes, in parts of bounded size."""
-    step = max(1, 200_000 // len(right[0]))
+    step = max(1, 200_000 // max(1, len(right[0])))
     for a in range(0, len(left[0]), step):
         n, m = left[2][a : a + step, None], right[2][None, :]
         i, j = np.nonzero((left[1][a : a + step, None] != right[1][None, :]) & (100 * n >= LEAST * m) & (100 * m >= LEAST * n))
@@ -226,81 +238,125 @@ class _Forest:
         return x != y
 
 
-class _Families:
-    """Of all candidate pairs of a task's blocks, as many as hold the same documents together: fewer than there are documents.
-
-    One forest serves all batches of a task, so that a bucket of many blocks names its documents once, not once for each pair
-    of blocks. It is emptied into links when it holds HELD documents, which bounds memory.
-    """
-
-    def __init__(self):
-        self.forest = _Forest()
-
-    def add(self, batch: pa.RecordBatch) -> None:
-        for m1, m2 in zip(batch.column("m1").to_pylist(), batch.column("m2").to_pylist(), strict=True):
-            left, right = _unpack(m1), _unpack(m2)
-            for i, j, _ in _may(left, right):
-                for x, y in zip(left[0][i].tolist(), right[0][j].tolist(), strict=True):
-                    self.forest.join(x, y)
+def _families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of all candidate pairs of a task's blocks, links (a, b) that hold the same components together: each with the least of its tree. The forest is emptied when it holds HELD components, which bounds memory."""
+    forest = _Forest()
 
-    def links(self) -> pa.RecordBatch:
-        """Each document with the least of its family; the forest is empty after."""
+    def links() -> pa.RecordBatch:
         least: dict[int, int] = {}
-        held = sorted({*self.forest.up, *self.forest.up.values()})
+        held = sorted({*forest.up, *forest.up.values()})
         for x in held:
-            least.setdefault(self.forest.root(x), x)
-        out = [(least[self.forest.root(x)], x) for x in held if least[self.forest.root(x)] != x]
-        self.forest = _Forest()
+            least.setdefault(forest.root(x), x)
+        out = [(least[forest.root(x)], x) for x in held if least[forest.root(x)] != x]
+        forest.up.clear()
         return arrays({"a": pa.int64(), "b": pa.int64()}, {"a": [x for x, _ in out], "b": [y for _, y in out]})
 
-
-def _families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found = _Families()
     for batch in batches:
         for a in range(0, batch.num_rows, 16):
-            found.add(batch.slice(a, 16))
-        if len(found.forest.up) > HELD:
-            yield found.links()
-    yield found.links()
+            part = batch.slice(a, 16)
+            for asks, members in zip(part.column("asks").to_pylist(), part.column("members").to_pylist(), strict=True):
+                left = _unpack([m for m in members if m["asks"]] if asks is None else asks)
+                right = _unpack(members)
+                for i, j, _ in _may(left, right):
+                    for x, y in np.unique(np.column_stack((left[1][i], right[1][j])), axis=0).tolist():
+                        forest.join(x, y)
+            if len(forest.up) > HELD:
+                yield links()
+    yield links()
+
+
+def contracted(links: DataFrame) -> DataFrame:
+    """Links (a, b) with a < b that hold the same nodes together as the given ones: every node goes to the least of its partners, and the partners to that one. Tasks that saw parts of one family name few different least nodes, so what is left is little more than a link for a node."""
+    least = links.groupBy("b").agg(F.min("a").alias("m"))
+    between = links.join(least.hint("merge"), "b").filter("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
+    return least.select(F.col("m").alias("a"), "b").union(between).distinct()
+
+
+class _Texts:
+    """Documents of a block: ids, components, sizes, sketches, and their sets, made when they are first needed."""
+
+    def __init__(self, members: list[dict]):
+        self.what, self.members, self.sets = _unpack(members), members, {}
+
+    def set_of(self, k: int) -> np.ndarray:
+        if k not in self.sets:
+            self.sets[k] = shingles(self.members[k]["text"])
+        return self.sets[k]
+
+
+def _verified_links(asks: _Texts, members: _Texts) -> list[tuple[int, int]]:
+    """Links between components, verified on full sets: as many as merge the same ones."""
+    forest, out = _Forest(), []
+    for i, j, equal in _may(asks.what, members.what):
+        for k in np.argsort(-equal, kind="stable").tolist():
+            x, y = int(i[k]), int(j[k])
+            a, b = int(asks.what[1][x]), int(members.what[1][y])
+            if forest.root(a) != forest.root(b):
+                p, q = asks.set_of(x), members.set_of(y)
+                if linked(len(np.intersect1d(p, q, assume_unique=True)), len(p), len(q)):
+                    forest.join(a, b)
+                    out.append((int(asks.what[0][x]), int(members.what[0][y])))
+    return out
+
+
+#: A document in a block of texts.
+_MEMBER = "struct<id:long,component:long,size:long,asks:boolean,sketch:binary,text:string>"
+
+
+def _cut(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by family. A family that is whole in one block is done here, and gives links; the blocks of others are rows."""
+    held, size, family, n = [], 0, None, 0
+    member = pa.struct([("id", pa.int64()), ("component", pa.int64()), ("size", pa.int64()), ("asks", pa.bool_()), ("sketch", pa.binary()), ("text", pa.string())])
+    types = {"a": pa.int64(), "b": pa.int64(), "family": pa.int64(), "members": pa.list_(member)}
+
+    def done() -> Iterator[pa.RecordBatch]:
+        if held and len(held) == n:
+            if found := _verified_links(_Texts([m for m in held if m["asks"]]), _Texts(held)):
+                yield arrays(types, {"a": [x for x, _ in found], "b": [y for _, y in found], "family": [None] * len(found), "members": [None] * len(found)})
+        elif held:
+            yield arrays(types, {"a": [None], "b": [None], "family": [family], "members": [held]})
+
+    for batch in batches:
+        for a in range(0, batch.num_rows, 64):
+            for row in batch.slice(a, 64).to_pylist():
+                if row["family"] != family or size > limit:
+                    yield from done()
+                    held, size, family, n = [], 0, row["family"], row["n"]
+                held.append({k: row[k] for k in ("id", "component", "size", "asks", "sketch", "text")})
+                size += len(row["text"]) + 256
+    yield from done()
 
 
 def _cross(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Documents of ask against all of member, on full sets: as many of the links between components as merge the same ones."""
     out: list[tuple[int, int]] = []
-    for ask, member in zip(batch.column("ask").to_pylist(), batch.column("member").to_pylist(), strict=True):
-        forest, sets = _Forest(), [shingles(m["text"]) for m in member]
-        sizes, comps = np.array([len(s) for s in sets]), np.array([m["component"] for m in member])
-        all_, starts = np.concatenate(sets), np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        for q in ask:
-            mine = shingles(q["text"])
-            at = np.minimum(np.searchsorted(mine, all_), len(mine) - 1)
-            common = np.add.reduceat((mine[at] == all_).astype(np.int64), starts)
-            for k in np.flatnonzero(linked(common, len(mine), sizes) & (comps != q["component"])).tolist():
-                if forest.join(q["component"], int(comps[k])):
-                    out.append((q["id"], member[k]["id"]))
+    for asks, members in zip(batch.column("asks").to_pylist(), batch.column("members").to_pylist(), strict=True):
+        out += _verified_links(_Texts(asks), _Texts(members))
     return arrays({"a": pa.int64(), "b": pa.int64()}, {"a": [x for x, _ in out], "b": [y for _, y in out]})
 
 
-def text_blocks(rows: DataFrame, as_: str) -> DataFrame:
-    """(family, block, as_): the rows (family, id, component, text) of a family in blocks of about BLOCK_BYTES."""
-    sums = rows.groupBy("family").agg(F.sum(F.length("text") + 64).alias("__size"))
-    dealt = rows.join(sums.hint("merge"), "family").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("__size") / BLOCK_BYTES)))
-    return dealt.groupBy("family", "block").agg(F.collect_list(F.struct("id", "component", "text")).alias(as_))
+def family_links(rows: DataFrame) -> DataFrame:
+    """Links (a, b) between all components of a family that a pair of its documents links. rows: family, n (its documents), id, component, size, asks, sketch, text. Families are cut in blocks of about BLOCK_BYTES where rows are sorted by range, so the largest is spread like all others; only blocks of families that have several meet, dealt by the block that is asked."""
+    placed, limit = rows.withColumn("__place", F.xxhash64("id")), BLOCK_BYTES
+    cut = written(placed.repartitionByRange("family", "__place").sortWithinPartitions("family", "__place").drop("__place").mapInArrow(lambda batches: _cut(batches, limit), f"a long, b long, family long, members array<{_MEMBER}>"))
+    parts = written(cut.filter("members IS NOT NULL").select("family", "members").withColumn("block", F.monotonically_increasing_id()))
+    asking = parts.select(F.col("block").alias("own"), F.filter("members", lambda m: m["asks"]).alias("asks")).filter(F.size("asks") > 0)
+    names = parts.select("family", "block")
+    aimed = names.withColumnRenamed("block", "own").join(names.hint("merge"), "family").select("own", "block")
+    met = asking.join(aimed.hint("merge"), "own").select("block", "asks").join(parts.select("block", "members").hint("merge"), "block").select("asks", "members")
+    return cut.filter("a IS NOT NULL").select("a", "b").unionAll(map_batches(met, _cross, "a long, b long", rows=1))
 
 
-def rest_links(blocks_: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) that join all components that a candidate pair of any two blocks of a bucket may join."""
-    left = blocks_.select("bucket", F.col("block").alias("k1"), F.col("members").alias("m1"))
-    right = blocks_.select("bucket", F.col("block").alias("k2"), F.col("members").alias("m2"))
-    pairs = written(left.join(right.hint("merge"), "bucket").filter("k1 <= k2").select("m1", "m2").mapInArrow(_families, "a long, b long"))
-    families = components(pairs).withColumnRenamed("component", "family")
-    rows = written(families.join(labels.hint("merge"), "id", "left").select("id", "family", F.coalesce("component", "id").alias("component")).join(texts.hint("merge"), "id"))
+def rest_links(blocks_: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) that join all components that a candidate pair of a bucket may join. nodes: id, size, sketch of all documents that are in a bucket."""
+    trees = written(block_pairs(blocks_).mapInArrow(_families, "a long, b long").distinct())
+    families = components(contracted(trees)).select(F.col("id").alias("component"), F.col("component").alias("family"))
+    known = nodes.select("id", "size", "sketch").join(labels.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     # A pair of different components has at least one document outside of the family's largest component: that one asks.
-    counts = rows.groupBy("family", "component").agg(F.count("*").alias("n"))
-    largest = counts.groupBy("family").agg(F.max(F.struct("n", "component")).alias("largest")).select("family", F.col("largest.component").alias("largest"))
-    asking = rows.join(largest.hint("merge"), "family").filter("component <> largest").drop("largest")
-    both = text_blocks(asking, "ask").select("family", "ask").join(text_blocks(rows, "member").select("family", "member").hint("merge"), "family")
-    return map_batches(both.select("ask", "member"), _cross, "a long, b long", rows=1)
+    counts = written(known.groupBy("component").agg(F.count("*").alias("m")).join(families.hint("merge"), "component"))
+    sums = counts.groupBy("family").agg(F.sum("m").alias("n"), F.max(F.struct("m", "component"))["component"].alias("largest"))
+    shown = counts.join(sums.hint("merge"), "family").select("component", "family", "n", (F.col("component") != F.col("largest")).alias("asks"))
+    rows = known.join(shown.hint("merge"), "component")
+    return family_links(written(rows.join(texts.hint("merge"), "id").select("family", "n", "id", "component", "size", "asks", "sketch", "text")))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -308,12 +364,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     spark = docs.sparkSession
     rows = written(sketches(docs, key, text))
     whole = rows.filter("key IS NOT NULL AND digest IS NOT NULL")
-    classes = whole.groupBy("digest", "n_shingles").agg(F.min(F.struct("key", "mark")).alias("one"), F.first("sketch").alias("sketch"), F.first("halves").alias("halves"))
-    nodes = written(classes.select("digest", F.col("n_shingles").alias("size"), "one.key", "one.mark", "sketch", "halves").withColumn("id", F.monotonically_increasing_id()))
+    classes = whole.groupBy("digest", "n_shingles").agg(F.min(F.struct("key", "mark")).alias("one"), F.first("sketch").alias("sketch"), F.first("halves").alias("halves"), F.count("*").alias("copies"))
+    nodes = written(classes.select("digest", F.col("n_shingles").alias("size"), "one.key", "one.mark", "sketch", "halves", "copies").withColumn("id", F.monotonically_increasing_id()))
     buckets = bucket_rows(nodes)
     members = written(buckets.join(nodes.select("id", "sketch", "size").hint("merge"), "id"))
-    wanted = nodes.join(members.select("id").distinct().hint("merge"), "id", "left_semi").select("id", "key", "mark")
-    texts = written(_marked(docs, key, text).join(wanted.hint("merge"), ["key", "mark"]).select("id", "text"))
+    wanted = written(nodes.join(members.select("id").distinct().hint("merge"), "id", "left_semi").drop("digest", "halves"))
+    found = written(_marked(docs, key, text).join(wanted.select("id", "key", "mark", "copies").hint("merge"), ["key", "mark"]).select("id", "text", "copies"))
+    texts = found.filter("copies = 1").unionAll(found.filter("copies > 1").dropDuplicates(["id"])).select("id", "text")  # rows may be repeated
     links = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "id long, component long")
     for _ in range(ROUNDS):
@@ -322,7 +379,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             break
         links = links.union(new)
         labels = components(links)
-    rest = written(rest_links(written(blocks(members, labels)), labels, texts))
+    rest = written(rest_links(written(blocks(members, labels)), labels, wanted, texts))
     node_of = rows.select("key", "digest", "n_shingles").join(nodes.select("digest", F.col("size").alias("n_shingles"), "id").hint("merge"), ["digest", "n_shingles"], "left")
     # A key with several texts links their nodes.
     several = node_of.filter("key IS NOT NULL AND id IS NOT NULL").groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a <> z")
