@@ -9,14 +9,32 @@ from .shared import written
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, component) for every id in links (a, b): the smallest id that can be reached. Each round every node takes the smallest label around it, then its label's label; labels fall until none changes. Rows of links are pre-aggregated by node, and no node's links meet in one task."""
-    both = written(links.filter("a <> b").select("a", "b").union(links.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")))
+    """(id, component) for every id in links (a, b): the smallest id that can be reached.
+
+    Each round every node goes to the smallest id around it, and links are drawn between what their ends went to; those
+    that end in one node are gone. Stars are done in a round. From the third round on nodes go all the way down, so the
+    number of nodes that are left halves at least. Minima are pre-aggregated, and no node's links meet in one task.
+    """
+    edges = written(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    labels, number = None, 0
     while True:
-        around = both.join(labels.hint("merge"), both.b == labels.id).groupBy("a").agg(F.min("component").alias("near"))
-        lower = labels.join(around.hint("merge"), labels.id == around.a, "left").select("id", "component", F.least("component", F.coalesce("near", "component")).alias("next"))
-        jump = lower.select(F.col("id").alias("via"), F.col("next").alias("far"))
-        new = written(lower.join(jump.hint("merge"), lower.next == jump.via, "left").select("id", F.least("next", F.coalesce("far", "next")).alias("now"), "component"))
-        labels = new.select("id", F.col("now").alias("component"))
-        if new.filter("now <> component").isEmpty():
+        number += 1
+        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        down = written(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("to")))
+        while number > 2:
+            then = down.select(F.col("id").alias("via"), F.col("to").alias("far"))
+            jumped = written(down.join(then.hint("merge"), F.col("to") == F.col("via")).select("id", F.col("far").alias("to"), (F.col("to") != F.col("far")).alias("moved")))
+            down = jumped.select("id", "to")
+            if jumped.filter("moved").isEmpty():
+                break
+        labels = down.select("id", F.col("to").alias("component")) if labels is None else _followed(labels, down)
+        ends = [down.select(F.col("id").alias(c), F.col("to").alias(f"{c}_to")).hint("merge") for c in ("a", "b")]
+        moved = edges.join(ends[0], "a").join(ends[1], "b").filter("a_to <> b_to")
+        edges = written(moved.select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct())
+        if edges.isEmpty():
             return labels
+
+
+def _followed(labels: DataFrame, down: DataFrame) -> DataFrame:
+    then = down.select(F.col("id").alias("via"), "to")
+    return labels.join(then.hint("merge"), labels.component == then.via, "left").select("id", F.coalesce("to", "component").alias("component"))

@@ -7,13 +7,14 @@ words (fewer words: the whole sequence). Documents are linked where 100 * |inter
    144 tables come from 24 pairs: documents of similarity 0.75 share a key with probability 0.9999. Keys with one document
    go early: a pair that no other document has makes no key.
 2. Documents with equal sets become one. Buckets with the same members become one.
-3. Rounds of links: buckets are dealt in blocks of bounded size; in a block each document finds its most similar partner
-   of another component, by minhashes; that pair is verified on the texts; components merge.
-4. The rest: candidate pairs of different components hold components together in families. In a family every document
-   outside of the largest component is compared with every document, block of texts by block of texts: by minhashes, and
-   on full sets where these may be similar. So no pair of documents is a row, and a large group meets in no task.
+3. In each bucket, documents with EQUAL of 48 minhashes are candidates, which hold documents together in families.
+4. In each family, candidates are verified on their full sets, by the texts, unless they are in one component already.
 
-A pair is a candidate where it shares a table and EQUAL of 48 minhashes.
+Steps 3 and 4 go through groups in the same way. Groups are cut in blocks of bounded size where rows are sorted by range, so
+a large group is spread like all others. Within a block documents are compared in growing steps, and never with one that
+they are connected to. Of a group with several blocks, one document of each component of each block goes through the same
+again; then every document outside of the group's largest component is compared with all blocks. So no pair of documents is
+a row, no large group meets in a task, and none is dropped.
 
 Null or empty texts, and texts without words, have an empty set and no links. Rows with a null id have no links. Rows of
 one id are one node: it has the links of each of its texts.
@@ -39,12 +40,10 @@ HASHES = 2 * PAIRS * ROWS
 LEAST = 75
 #: Pairs with fewer equal minhashes of 48 are not candidates: at similarity 0.75 that has a probability of about 5e-6.
 EQUAL = 21
-#: Documents of a block of minhashes, and bytes of text in a block of texts.
-BLOCK, BLOCK_BYTES = 512, 1 << 21
-#: Documents that the families of a task hold before they are written as links.
-HELD = 500_000
-#: Rounds of step 3.
-ROUNDS = 1
+#: Documents of a block of minhashes, and bytes of text in a block of texts; each document counts as OVERHEAD bytes besides.
+BLOCK, BLOCK_BYTES, OVERHEAD = 512, 1 << 21, 256
+#: Documents that the components of a task hold before they are written as links.
+HELD = 200_000
 
 _random = np.random.default_rng(20_240_501)
 _BYTE = _random.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -143,7 +142,7 @@ def bucket_rows(nodes: DataFrame) -> DataFrame:
     shared = halves.groupBy("k", "h").agg(F.count("*").alias("n")).filter("n > 1").select("k", "h")
     mine = halves.join(shared.hint("merge"), ["k", "h"]).groupBy("id").agg(F.collect_list(F.struct("k", "h")).alias("halves"))  # at most 24 for an id
     first, second = F.filter("halves", lambda x: x["k"] < PAIRS), F.filter("halves", lambda x: x["k"] >= PAIRS)
-    key = lambda a, b: F.struct((a["k"] * PAIRS + b["k"]).alias("table"), a["h"].alias("first"), b["h"].alias("second"))
+    key = lambda a, b: F.xxhash64(a["k"], b["k"], a["h"], b["h"])
     keys = F.flatten(F.transform(first, lambda a: F.transform(second, lambda b: key(a, b))))
     rows = written(mine.select("id", F.explode(keys).alias("bucket")))
     sums = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s"), F.min("id").alias("least"), F.max("id").alias("most")).filter("n > 1")
@@ -151,77 +150,8 @@ def bucket_rows(nodes: DataFrame) -> DataFrame:
     return rows.join(once.select("bucket", "n").hint("merge"), "bucket").select("bucket", "n", "id")
 
 
-def blocks(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """(bucket, n, block, members) of the buckets that hold several components. A member asks where it is outside of its bucket's largest component: a pair of different components has one that asks. rows: bucket, n, id, sketch, size."""
-    known = rows.join(labels.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    counts = known.groupBy("bucket", "component").agg(F.count("*").alias("m"))
-    open_ = counts.groupBy("bucket").agg(F.max(F.struct("m", "component"))["component"].alias("largest"), F.count("*").alias("components")).filter("components > 1").select("bucket", "largest")
-    dealt = known.join(open_.hint("merge"), "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)))
-    member = F.struct("id", "component", "size", "sketch", (F.col("component") != F.col("largest")).alias("asks"))
-    return dealt.groupBy("bucket", "n", "block").agg(F.collect_list(member).alias("members"))
-
-
-def block_pairs(blocks_: DataFrame) -> DataFrame:
-    """(asks, members): each block of a bucket alone (asks is null), and its members that ask beside each other block of the bucket. Pairs of blocks are dealt by the block that is asked, so a bucket of many blocks is spread over as many tasks."""
-    alone = blocks_.select(F.lit(None).cast(blocks_.schema["members"].dataType).alias("asks"), "members")
-    asking = blocks_.filter(F.col("n") > BLOCK).select("bucket", "n", F.col("block").alias("own"), F.filter("members", lambda m: m["asks"]).alias("asks")).filter(F.size("asks") > 0)
-    aimed = asking.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / BLOCK) - 1))).filter("block <> own").select("bucket", "block", "asks")
-    return alone.unionAll(aimed.join(blocks_.select("bucket", "block", "members").hint("merge"), ["bucket", "block"]).select("asks", "members"))
-
-
-def _unpack(members: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    ids, comps, sizes = (np.array([m[k] for m in members], np.int64) for k in ("id", "component", "size"))
-    return ids, comps, sizes, np.frombuffer(b"".join(m["sketch"] for m in members) or bytearray(), np.uint16).reshape(len(members), HASHES)
-
-
-def _may(left, right):
-    """Index pairs (i of left, j of right) of different components that may be linked, and their equal minhashes, in parts of bounded size."""
-    step = max(1, 200_000 // max(1, len(right[0])))
-    for a in range(0, len(left[0]), step):
-        n, m = left[2][a : a + step, None], right[2][None, :]
-        i, j = np.nonzero((left[1][a : a + step, None] != right[1][None, :]) & (100 * n >= LEAST * m) & (100 * m >= LEAST * n))
-        equal = (left[3][a + i] == right[3][j]).sum(axis=1)
-        at = np.flatnonzero(equal >= EQUAL)
-        if len(at):
-            yield a + i[at], j[at], equal[at]
-
-
-def _best(batch: pa.RecordBatch) -> pa.RecordBatch:
-    found = {"a": [], "b": [], "equal": []}
-    for members in batch.column("members").to_pylist():
-        block = _unpack(members)
-        for i, j, equal in _may(block, block):
-            order = np.lexsort((equal, i))
-            last = order[np.append(i[order][1:] != i[order][:-1], True)]
-            for name, values in (("a", block[0][i[last]]), ("b", block[0][j[last]]), ("equal", equal[last])):
-                found[name] += values.tolist()
-    return arrays({"a": pa.int64(), "b": pa.int64(), "equal": pa.int64()}, found)
-
-
-def best_partners(blocks_: DataFrame) -> DataFrame:
-    """(a, b) with a < b: for each document the partner with most equal minhashes of another component in its blocks."""
-    found = map_batches(blocks_.select("members"), _best, "a long, b long, equal long", rows=64)
-    one = found.groupBy("a").agg(F.max_by("b", F.struct("equal", "b")).alias("b"))
-    return one.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. texts: id, text."""
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        kept = []
-        for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-            x, y = shingles(x), shingles(y)
-            kept.append(bool(linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))))
-        kept = pa.array(kept, pa.bool_())
-        return pa.RecordBatch.from_arrays([batch.column("a").filter(kept), batch.column("b").filter(kept)], names=["a", "b"])
-
-    left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")).hint("merge"), "a")
-    both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")).hint("merge"), "b").select("a", "b", "x", "y")
-    return map_batches(both, run, "a long, b long", rows=64)
-
-
 class _Forest:
-    """Union-find; join says whether two were apart."""
+    """Union-find; a root is the least of its tree."""
 
     def __init__(self):
         self.up: dict[int, int] = {}
@@ -232,163 +162,191 @@ class _Forest:
             x = y
         return x
 
-    def join(self, x: int, y: int) -> bool:
+    def join(self, x: int, y: int) -> None:
         x, y = self.root(x), self.root(y)
-        self.up[x] = y
-        return x != y
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
 
+    def roots(self, nodes: list[int]) -> np.ndarray:
+        return np.array([self.root(x) for x in nodes], np.int64)
 
-def _families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of all candidate pairs of a task's blocks, links (a, b) that hold the same components together: each with the least of its tree. The forest is emptied when it holds HELD components, which bounds memory."""
-    forest = _Forest()
+    def links(self) -> list[tuple[int, int]]:
+        """The root of each node that isn't one, with the node."""
+        return [(self.root(x), x) for x in list(self.up) if self.up[x] != x]
 
-    def links() -> pa.RecordBatch:
-        least: dict[int, int] = {}
-        held = sorted({*forest.up, *forest.up.values()})
-        for x in held:
-            least.setdefault(forest.root(x), x)
-        out = [(least[forest.root(x)], x) for x in held if least[forest.root(x)] != x]
-        forest.up.clear()
-        return arrays({"a": pa.int64(), "b": pa.int64()}, {"a": [x for x, _ in out], "b": [y for _, y in out]})
-
-    for batch in batches:
-        for a in range(0, batch.num_rows, 16):
-            part = batch.slice(a, 16)
-            for asks, members in zip(part.column("asks").to_pylist(), part.column("members").to_pylist(), strict=True):
-                left = _unpack([m for m in members if m["asks"]] if asks is None else asks)
-                right = _unpack(members)
-                for i, j, _ in _may(left, right):
-                    for x, y in np.unique(np.column_stack((left[1][i], right[1][j])), axis=0).tolist():
-                        forest.join(x, y)
-            if len(forest.up) > HELD:
-                yield links()
-    yield links()
-
-
-def contracted(links: DataFrame) -> DataFrame:
-    """Links (a, b) with a < b that hold the same nodes together as the given ones: every node goes to the least of its partners, and the partners to that one. Tasks that saw parts of one family name few different least nodes, so what is left is little more than a link for a node."""
-    least = links.groupBy("b").agg(F.min("a").alias("m"))
-    between = links.join(least.hint("merge"), "b").filter("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
-    return least.select(F.col("m").alias("a"), "b").union(between).distinct()
 
+class _Members:
+    """Documents of a block; their sets are made when they are first needed. Without texts, minhashes decide."""
 
-class _Texts:
-    """Documents of a block: ids, components, sizes, sketches, and their sets, made when they are first needed."""
-
-    def __init__(self, members: list[dict]):
-        self.what, self.members, self.sets = _unpack(members), members, {}
+    def __init__(self, rows: list[dict]):
+        self.rows, self.nodes, self.sets = rows, [r["node"] for r in rows], {}
+        self.sizes = np.array([r["size"] for r in rows], np.int64)
+        self.sketch = np.frombuffer(b"".join(r["sketch"] for r in rows) or bytearray(), np.uint16).reshape(len(rows), HASHES)
+        self.texts = bool(rows) and rows[0]["text"] is not None
 
     def set_of(self, k: int) -> np.ndarray:
         if k not in self.sets:
-            self.sets[k] = shingles(self.members[k]["text"])
+            self.sets[k] = shingles(self.rows[k]["text"])
         return self.sets[k]
 
 
-def _verified_links(asks: _Texts, members: _Texts) -> list[tuple[int, int]]:
-    """Links between components, verified on full sets: as many as merge the same ones."""
-    forest, out = _Forest(), []
-    for i, j, equal in _may(asks.what, members.what):
-        for k in np.argsort(-equal, kind="stable").tolist():
-            x, y = int(i[k]), int(j[k])
-            a, b = int(asks.what[1][x]), int(members.what[1][y])
-            if forest.root(a) != forest.root(b):
-                p, q = asks.set_of(x), members.set_of(y)
-                if linked(len(np.intersect1d(p, q, assume_unique=True)), len(p), len(q)):
-                    forest.join(a, b)
-                    out.append((int(asks.what[0][x]), int(members.what[0][y])))
-    return out
-
-
-#: A document in a block of texts.
-_MEMBER = "struct<id:long,component:long,size:long,asks:boolean,sketch:binary,text:string>"
+def _steps(n: int) -> Iterator[tuple[int, int]]:
+    """Ranges below n that grow from one to 256: what the first ones connect, later ones need not compare."""
+    a, width = 0, 1 if n > 16 else 16
+    while a < n:
+        yield a, min(n, a + width)
+        a, width = a + width, min(256, 2 * width)
+
+
+def _candidates(left: _Members, a: int, b: int, right: _Members, forest: _Forest, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (i of left between a and b, j of right) that may be linked and aren't connected, by i, the most similar first. same: left is right, each pair once."""
+    n, m = left.sizes[a:b, None], right.sizes[None, :]
+    apart = forest.roots(left.nodes[a:b])[:, None] != forest.roots(right.nodes)[None, :]
+    i, j = np.nonzero(apart & (100 * n >= LEAST * m) & (100 * m >= LEAST * n))
+    i += a
+    if same:
+        i, j = i[j > i], j[j > i]
+    equal = np.concatenate([(left.sketch[i[k : k + 100_000]] == right.sketch[j[k : k + 100_000]]).sum(axis=1) for k in range(0, len(i), 100_000)] or [np.zeros(0, np.int64)])
+    at = np.flatnonzero(equal >= EQUAL)
+    at = at[np.lexsort((-equal[at], i[at]))]
+    return i[at], j[at]
+
+
+def _similar(mine: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """Which of the sets are linked with mine. None is empty."""
+    sizes, all_ = np.array([len(s) for s in sets]), np.concatenate(sets)
+    at = np.minimum(np.searchsorted(mine, all_), len(mine) - 1)
+    common = np.add.reduceat((mine[at] == all_).astype(np.int64), np.concatenate(([0], np.cumsum(sizes)[:-1])))
+    return linked(common, len(mine), sizes)
+
+
+def _connect(forest: _Forest, left: _Members, right: _Members, same: bool) -> None:
+    """Joins what is linked: by full sets, or where there are no texts all candidates."""
+    for a, b in _steps(len(left.nodes)):
+        i, j = _candidates(left, a, b, right, forest, same)
+        if not left.texts:
+            for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                forest.join(left.nodes[x], right.nodes[y])
+            continue
+        ends = np.flatnonzero(np.diff(i, append=-1)) + 1
+        for start, end in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True) if len(i) else ():
+            x, k, width = int(i[start]), start, 1  # the most similar one alone, then many at once
+            while k < end:
+                own = forest.root(left.nodes[x])
+                others = [y for y in j[k : min(end, k + width)].tolist() if forest.root(right.nodes[y]) != own]
+                if others:
+                    for y in np.flatnonzero(_similar(left.set_of(x), [right.set_of(y) for y in others])).tolist():
+                        forest.join(left.nodes[x], right.nodes[others[y]])
+                k, width = k + width, 256
+
+
+_MEMBER = pa.struct([("node", pa.int64()), ("size", pa.int64()), ("sketch", pa.binary()), ("text", pa.string()), ("tree", pa.int64())])
+_MEMBERS = "array<struct<node:long,size:long,sketch:binary,text:string,tree:long>>"
 
 
 def _cut(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by family. A family that is whole in one block is done here, and gives links; the blocks of others are rows."""
-    held, size, family, n = [], 0, None, 0
-    member = pa.struct([("id", pa.int64()), ("component", pa.int64()), ("size", pa.int64()), ("asks", pa.bool_()), ("sketch", pa.binary()), ("text", pa.string())])
-    types = {"a": pa.int64(), "b": pa.int64(), "family": pa.int64(), "members": pa.list_(member)}
+    """Rows come sorted by group. Blocks are gone through one by one: links (a, b), each from a component's least document, and the blocks of groups that aren't whole in one, with the component of each member."""
+    types = {"a": pa.int64(), "b": pa.int64(), "group": pa.int64(), "members": pa.list_(_MEMBER)}
+    forest, held, size, group, n = _Forest(), [], 0, None, 0
+
+    def links() -> Iterator[pa.RecordBatch]:
+        if found := forest.links():
+            yield arrays(types, {"a": [x for x, _ in found], "b": [y for _, y in found], "group": [None] * len(found), "members": [None] * len(found)})
+        forest.up.clear()
 
     def done() -> Iterator[pa.RecordBatch]:
-        if held and len(held) == n:
-            if found := _verified_links(_Texts([m for m in held if m["asks"]]), _Texts(held)):
-                yield arrays(types, {"a": [x for x, _ in found], "b": [y for _, y in found], "family": [None] * len(found), "members": [None] * len(found)})
-        elif held:
-            yield arrays(types, {"a": [None], "b": [None], "family": [family], "members": [held]})
+        if held:
+            block = _Members(held)
+            _connect(forest, block, block, True)
+            if len(held) < n:
+                first: dict[int, int] = {}
+                for row in held:
+                    row["tree"] = first.setdefault(forest.root(row["node"]), row["node"])
+                yield arrays(types, {"a": [None], "b": [None], "group": [group], "members": [held]})
+            if len(forest.up) > HELD:
+                yield from links()
 
     for batch in batches:
         for a in range(0, batch.num_rows, 64):
             for row in batch.slice(a, 64).to_pylist():
-                if row["family"] != family or size > limit:
+                if row["group"] != group or size >= limit:
                     yield from done()
-                    held, size, family, n = [], 0, row["family"], row["n"]
-                held.append({k: row[k] for k in ("id", "component", "size", "asks", "sketch", "text")})
-                size += len(row["text"]) + 256
+                    held, size, group, n = [], 0, row["group"], row["n"]
+                held.append({"node": row["node"], "size": row["size"], "sketch": row["sketch"], "text": row["text"]})
+                size += len(row["text"] or "") + OVERHEAD
     yield from done()
+    yield from links()
 
 
-def _cross(batch: pa.RecordBatch) -> pa.RecordBatch:
-    out: list[tuple[int, int]] = []
-    for asks, members in zip(batch.column("asks").to_pylist(), batch.column("members").to_pylist(), strict=True):
-        out += _verified_links(_Texts(asks), _Texts(members))
-    return arrays({"a": pa.int64(), "b": pa.int64()}, {"a": [x for x, _ in out], "b": [y for _, y in out]})
-
-
-def family_links(rows: DataFrame) -> DataFrame:
-    """Links (a, b) between all components of a family that a pair of its documents links. rows: family, n (its documents), id, component, size, asks, sketch, text. Families are cut in blocks of about BLOCK_BYTES where rows are sorted by range, so the largest is spread like all others; only blocks of families that have several meet, dealt by the block that is asked."""
-    placed, limit = rows.withColumn("__place", F.xxhash64("id")), BLOCK_BYTES
-    cut = written(placed.repartitionByRange("family", "__place").sortWithinPartitions("family", "__place").drop("__place").mapInArrow(lambda batches: _cut(batches, limit), f"a long, b long, family long, members array<{_MEMBER}>"))
-    parts = written(cut.filter("members IS NOT NULL").select("family", "members").withColumn("block", F.monotonically_increasing_id()))
-    asking = parts.select(F.col("block").alias("own"), F.filter("members", lambda m: m["asks"]).alias("asks")).filter(F.size("asks") > 0)
-    names = parts.select("family", "block")
-    aimed = names.withColumnRenamed("block", "own").join(names.hint("merge"), "family").select("own", "block")
-    met = asking.join(aimed.hint("merge"), "own").select("block", "asks").join(parts.select("block", "members").hint("merge"), "block").select("asks", "members")
-    return cut.filter("a IS NOT NULL").select("a", "b").unionAll(map_batches(met, _cross, "a long, b long", rows=1))
+def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents that ask against all of another block: links between components."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            asks, members = (batch.column(c)[k].as_py() for c in ("asks", "members"))
+            forest = _Forest()
+            _connect(forest, *(_Members([row | {"node": row["tree"]} for row in rows]) for rows in (asks, members)), False)
+            found = forest.links()
+            yield arrays({"a": pa.int64(), "b": pa.int64()}, {"a": [x for x, _ in found], "b": [y for _, y in found]})
+
+
+def group_links(rows: DataFrame, limit: int) -> DataFrame:
+    """Links (a, b) that connect what the linked documents of each group connect. rows: group, n (its rows), node, size, sketch, text (null: by minhashes alone). limit: bytes of a block."""
+    placed = rows.select("group", "n", "node", "size", "sketch", "text", F.xxhash64("node").alias("place"))
+    sorted_ = placed.repartitionByRange("group", "place").sortWithinPartitions("group", "place")
+    cut = written(sorted_.mapInArrow(lambda batches: _cut(batches, limit), f"a long, b long, group long, members {_MEMBERS}"))
+    links, parts = cut.filter("members IS NULL").select("a", "b"), cut.filter("members IS NOT NULL")
+    if parts.isEmpty():
+        return links
+    parts = written(parts.select("group", "members", F.monotonically_increasing_id().alias("block")))
+    docs = parts.select("group", "block", F.explode("members").alias("m")).select("group", "block", "m.*")
+    # One document of each component of a block stands for it, if that makes them many fewer.
+    few, more = docs.filter("node = tree"), None
+    if 2 * few.count() <= docs.count():
+        counts = few.groupBy("group").agg(F.count("*").alias("n"))
+        more = group_links(few.join(counts.hint("merge"), "group"), limit)
+    trees = docs.filter("node <> tree").select(F.col("tree").alias("a"), F.col("node").alias("b"))
+    labels = components(trees if more is None else trees.unionAll(more))
+    known = docs.join(labels.hint("merge"), docs.node == labels.id, "left").withColumn("tree", F.coalesce("component", "node")).drop("id", "component")
+    sums = known.groupBy("group", "tree").agg(F.count("*").alias("m"))
+    largest = sums.groupBy("group").agg(F.max(F.struct("m", "tree"))["tree"].alias("largest"), F.count("*").alias("trees")).filter("trees > 1").select("group", "largest")
+    member = F.struct("node", "size", "sketch", "text", "tree", (F.col("tree") != F.col("largest")).alias("asks"))
+    blocks = written(known.join(largest.hint("merge"), "group").groupBy("group", "block").agg(F.collect_list(member).alias("members")))
+    # Pairs of different components have a document outside of the largest one: that one asks, in all blocks but its own.
+    asking = blocks.select(F.col("block").alias("own"), F.filter("members", lambda m: m["asks"]).alias("asks")).filter(F.size("asks") > 0)
+    names = blocks.select("group", "block")
+    aimed = names.withColumnRenamed("block", "own").join(names.hint("merge"), "group").filter("own <> block").select("own", "block")
+    met = asking.join(aimed.hint("merge"), "own").select("block", "asks").join(blocks.select("block", "members").hint("merge"), "block").select("asks", "members")
+    out = links.unionAll(met.mapInArrow(_cross, "a long, b long"))
+    return out if more is None else out.unionAll(more)
 
 
-def rest_links(blocks_: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) that join all components that a candidate pair of a bucket may join. nodes: id, size, sketch of all documents that are in a bucket."""
-    trees = written(block_pairs(blocks_).mapInArrow(_families, "a long, b long").distinct())
-    families = components(contracted(trees)).select(F.col("id").alias("component"), F.col("component").alias("family"))
-    known = nodes.select("id", "size", "sketch").join(labels.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    # A pair of different components has at least one document outside of the family's largest component: that one asks.
-    counts = written(known.groupBy("component").agg(F.count("*").alias("m")).join(families.hint("merge"), "component"))
-    sums = counts.groupBy("family").agg(F.sum("m").alias("n"), F.max(F.struct("m", "component"))["component"].alias("largest"))
-    shown = counts.join(sums.hint("merge"), "family").select("component", "family", "n", (F.col("component") != F.col("largest")).alias("asks"))
-    rows = known.join(shown.hint("merge"), "component")
-    return family_links(written(rows.join(texts.hint("merge"), "id").select("family", "n", "id", "component", "size", "asks", "sketch", "text")))
+def contracted(links: DataFrame) -> DataFrame:
+    """Links that connect the same nodes as links (a, b) with a < b: each b goes to the least of its partners, of which there is at most one for each of its tables, and the other partners go to that one."""
+    partners = links.groupBy("b").agg(F.array_sort(F.collect_set("a")).alias("of"))
+    pairs = partners.select(F.explode(F.array_append(F.transform("of", lambda x: F.struct(F.col("of")[0].alias("a"), x.alias("b"))), F.struct(F.col("of")[0].alias("a"), F.col("b")))).alias("p"))
+    return pairs.select("p.a", "p.b").filter("a <> b").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: key, n_shingles, component_id (smallest key reachable), kept (key is component_id)."""
-    spark = docs.sparkSession
     rows = written(sketches(docs, key, text))
     whole = rows.filter("key IS NOT NULL AND digest IS NOT NULL")
     classes = whole.groupBy("digest", "n_shingles").agg(F.min(F.struct("key", "mark")).alias("one"), F.first("sketch").alias("sketch"), F.first("halves").alias("halves"), F.count("*").alias("copies"))
     nodes = written(classes.select("digest", F.col("n_shingles").alias("size"), "one.key", "one.mark", "sketch", "halves", "copies").withColumn("id", F.monotonically_increasing_id()))
-    buckets = bucket_rows(nodes)
-    members = written(buckets.join(nodes.select("id", "sketch", "size").hint("merge"), "id"))
-    wanted = written(nodes.join(members.select("id").distinct().hint("merge"), "id", "left_semi").drop("digest", "halves"))
-    found = written(_marked(docs, key, text).join(wanted.select("id", "key", "mark", "copies").hint("merge"), ["key", "mark"]).select("id", "text", "copies"))
-    texts = found.filter("copies = 1").unionAll(found.filter("copies > 1").dropDuplicates(["id"])).select("id", "text")  # rows may be repeated
-    links = spark.createDataFrame([], "a long, b long")
-    labels = spark.createDataFrame([], "id long, component long")
-    for _ in range(ROUNDS):
-        new = written(verified(best_partners(blocks(members, labels)), texts))
-        if new.isEmpty():
-            break
-        links = links.union(new)
-        labels = components(links)
-    rest = written(rest_links(written(blocks(members, labels)), labels, wanted, texts))
-    node_of = rows.select("key", "digest", "n_shingles").join(nodes.select("digest", F.col("size").alias("n_shingles"), "id").hint("merge"), ["digest", "n_shingles"], "left")
-    # A key with several texts links their nodes.
-    several = node_of.filter("key IS NOT NULL AND id IS NOT NULL").groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a <> z")
-    same_key = node_of.join(several.hint("merge"), "key").filter("id <> a").select("a", F.col("id").alias("b"))
-    final = components(links.union(rest).union(same_key))
-    placed = nodes.select("id", "key").join(final.hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    least = placed.groupBy("component").agg(F.min("key").alias("component_id"))
-    named = placed.select("id", "component").join(least.hint("merge"), "component").select("id", "component_id")
-    out = node_of.join(named.hint("merge"), "id", "left").withColumn("component_id", F.when(F.col("key").isNotNull(), F.coalesce("component_id", "key")))
+    buckets = bucket_rows(nodes).join(nodes.select("id", "sketch", "size").hint("merge"), "id")
+    trees = group_links(buckets.select(F.col("bucket").alias("group"), "n", F.col("id").alias("node"), "size", "sketch", F.lit(None).cast("string").alias("text")), BLOCK * OVERHEAD)
+    families = components(contracted(trees))
+    counts = families.groupBy("component").agg(F.count("*").alias("n"))
+    wanted = nodes.drop("digest", "halves").join(families.hint("merge"), "id").join(counts.hint("merge"), "component")
+    found = written(_marked(docs, key, text).join(wanted.hint("merge"), ["key", "mark"]))
+    texts = found.filter("copies = 1").unionAll(found.filter("copies > 1").dropDuplicates(["id"]))  # rows may be repeated
+    links = group_links(texts.select(F.col("component").alias("group"), "n", F.col("key").alias("node"), "size", "sketch", "text"), BLOCK_BYTES)
+    node_of = rows.select("key", "digest", "n_shingles").join(nodes.select("digest", F.col("size").alias("n_shingles"), F.col("key").alias("node")).hint("merge"), ["digest", "n_shingles"], "left")
+    several = whole.groupBy("key").agg(F.min(F.struct("digest", "n_shingles")).alias("a"), F.max(F.struct("digest", "n_shingles")).alias("z")).filter("a <> z").select("key")
+    if not several.isEmpty():  # keys with several texts
+        links = links.unionAll(node_of.filter("node IS NOT NULL").join(several.hint("merge"), "key").select("node", "key"))
+    final = components(links)
+    out = node_of.join(final.hint("merge"), node_of.node == final.id, "left").withColumn("component_id", F.when(F.col("key").isNotNull(), F.coalesce("component", "node", "key")))
     return out.select(F.col("key").alias(key), "n_shingles", "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))
 
 

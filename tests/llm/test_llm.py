@@ -165,10 +165,11 @@ def test_near_duplicates(spark, seed, block, monkeypatch):
     assert {k: (r["component_id"], r["n_shingles"], r["kept"]) for k, r in got.items()} == {k: (component[k], size[k], component[k] == k) for k in got}
 
 
-def test_rest_links_alone(spark, monkeypatch):
-    """Without the rounds before it, the exact step finds every component."""
-    monkeypatch.setattr(neardup, "ROUNDS", 0)
-    rows = documents(2, 90)
+def test_groups_of_many_blocks(spark, monkeypatch):
+    """Blocks of a few documents each, so that every large group has many."""
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 1 << 11)
+    rows = documents(2, 110)
     got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == brute(rows)[0]
 
