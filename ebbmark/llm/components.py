@@ -36,5 +36,6 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _followed(labels: DataFrame, down: DataFrame) -> DataFrame:
-    then = down.select(F.col("id").alias("via"), "to")
-    return labels.join(then.hint("merge"), labels.component == then.via, "left").select("id", F.coalesce("to", "component").alias("component"))
+    """labels (id, component), each component replaced by what it goes to in down (id, to)."""
+    then = down.toDF("via", "far")
+    return labels.join(then.hint("merge"), labels.component == then.via, "left").select("id", F.coalesce("far", "component").alias("component"))

@@ -13,8 +13,8 @@ words (fewer words: the whole sequence). Documents are linked where 100 * |inter
 Steps 3 and 4 go through groups in the same way. Groups are cut in blocks of bounded size where rows are sorted by range, so
 a large group is spread like all others. Within a block documents are compared in growing steps, and never with one that
 they are connected to. Of a group with several blocks, one document of each component of each block goes through the same
-again; then every document outside of the group's largest component is compared with all blocks. So no pair of documents is
-a row, no large group meets in a task, and none is dropped.
+again; then every document outside of the group's largest component is compared with all its blocks. So no pair of
+documents is a row, no large group meets in a task, and none is dropped.
 
 Null or empty texts, and texts without words, have an empty set and no links. Rows with a null id have no links. Rows of
 one id are one node: it has the links of each of its texts.
@@ -22,6 +22,7 @@ one id are one node: it has the links of each of its texts.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +42,7 @@ LEAST = 75
 #: Pairs with fewer equal minhashes of 48 are not candidates: at similarity 0.75 that has a probability of about 5e-6.
 EQUAL = 21
 #: Documents of a block of minhashes, and bytes of text in a block of texts; each document counts as OVERHEAD bytes besides.
-BLOCK, BLOCK_BYTES, OVERHEAD = 512, 1 << 21, 256
+BLOCK, BLOCK_BYTES, OVERHEAD = 4096, 8 << 20, 256
 #: Documents that the components of a task hold before they are written as links.
 HELD = 200_000
 
@@ -241,17 +242,19 @@ def _connect(forest: _Forest, left: _Members, right: _Members, same: bool) -> No
 
 
 _MEMBER = pa.struct([("node", pa.int64()), ("size", pa.int64()), ("sketch", pa.binary()), ("text", pa.string()), ("tree", pa.int64())])
-_MEMBERS = "array<struct<node:long,size:long,sketch:binary,text:string,tree:long>>"
+_TREE = pa.struct([("tree", pa.int64()), ("m", pa.int64())])
+_CUT = "a long, b long, group long, members array<struct<node:long,size:long,sketch:binary,text:string,tree:long>>, trees array<struct<tree:long,m:long>>"
 
 
 def _cut(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by group. Blocks are gone through one by one: links (a, b), each from a component's least document, and the blocks of groups that aren't whole in one, with the component of each member."""
-    types = {"a": pa.int64(), "b": pa.int64(), "group": pa.int64(), "members": pa.list_(_MEMBER)}
+    """Rows come sorted by group. Blocks are gone through one by one: links (a, b), each from a component's least document; and of groups that aren't whole in one block its members, each with its component in the block, and the sizes of these."""
+    types = {"a": pa.int64(), "b": pa.int64(), "group": pa.int64(), "members": pa.list_(_MEMBER), "trees": pa.list_(_TREE)}
     forest, held, size, group, n = _Forest(), [], 0, None, 0
 
     def links() -> Iterator[pa.RecordBatch]:
         if found := forest.links():
-            yield arrays(types, {"a": [x for x, _ in found], "b": [y for _, y in found], "group": [None] * len(found), "members": [None] * len(found)})
+            nothing = [None] * len(found)
+            yield arrays(types, {"a": [x for x, _ in found], "b": [y for _, y in found], "group": nothing, "members": nothing, "trees": nothing})
         forest.up.clear()
 
     def done() -> Iterator[pa.RecordBatch]:
@@ -262,7 +265,8 @@ def _cut(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBat
                 first: dict[int, int] = {}
                 for row in held:
                     row["tree"] = first.setdefault(forest.root(row["node"]), row["node"])
-                yield arrays(types, {"a": [None], "b": [None], "group": [group], "members": [held]})
+                trees = [{"tree": tree, "m": m} for tree, m in Counter(row["tree"] for row in held).items()]
+                yield arrays(types, {"a": [None], "b": [None], "group": [group], "members": [held], "trees": [trees]})
             if len(forest.up) > HELD:
                 yield from links()
 
@@ -279,45 +283,60 @@ def _cut(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBat
 
 
 def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents that ask against all of another block: links between components."""
+    """Documents that ask against all of another block, each under its component's label: links between labels."""
     for batch in batches:
         for k in range(batch.num_rows):
-            asks, members = (batch.column(c)[k].as_py() for c in ("asks", "members"))
+            sides = []
+            for rows, labels in (("asks", "own_labels"), ("members", "labels")):
+                label = {x["tree"]: x["label"] for x in batch.column(labels)[k].as_py()}
+                sides.append(_Members([row | {"node": label[row["tree"]]} for row in batch.column(rows)[k].as_py()]))
             forest = _Forest()
-            _connect(forest, *(_Members([row | {"node": row["tree"]} for row in rows]) for rows in (asks, members)), False)
+            _connect(forest, *sides, False)
             found = forest.links()
             yield arrays({"a": pa.int64(), "b": pa.int64()}, {"a": [x for x, _ in found], "b": [y for _, y in found]})
 
 
-def group_links(rows: DataFrame, limit: int) -> DataFrame:
-    """Links (a, b) that connect what the linked documents of each group connect. rows: group, n (its rows), node, size, sketch, text (null: by minhashes alone). limit: bytes of a block."""
+def _blocks(rows: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """The links that blocks give, and the blocks of groups that have several: None where no group has."""
     placed = rows.select("group", "n", "node", "size", "sketch", "text", F.xxhash64("node").alias("place"))
     sorted_ = placed.repartitionByRange("group", "place").sortWithinPartitions("group", "place")
-    cut = written(sorted_.mapInArrow(lambda batches: _cut(batches, limit), f"a long, b long, group long, members {_MEMBERS}"))
-    links, parts = cut.filter("members IS NULL").select("a", "b"), cut.filter("members IS NOT NULL")
-    if parts.isEmpty():
-        return links
-    parts = written(parts.select("group", "members", F.monotonically_increasing_id().alias("block")))
-    docs = parts.select("group", "block", F.explode("members").alias("m")).select("group", "block", "m.*")
-    # One document of each component of a block stands for it, if that makes them many fewer.
-    few, more = docs.filter("node = tree"), None
-    if 2 * few.count() <= docs.count():
+    cut = written(sorted_.mapInArrow(lambda batches: _cut(batches, limit), _CUT))
+    parts = cut.filter("members IS NOT NULL")
+    return cut.filter("members IS NULL").select("a", "b"), None if parts.isEmpty() else parts.select("group", "members", "trees")
+
+
+def group_components(rows: DataFrame, limit: int, links: DataFrame | None = None) -> DataFrame:
+    """(id, component): what the linked documents of all groups, and other links, connect; ids without a link are left out. rows: group, n (its rows), node, size, sketch, text (null: by minhashes alone). limit: bytes of a block."""
+    found, parts = _blocks(rows, limit)
+    links = found if links is None else found.unionAll(links)
+    if parts is None:
+        return components(contracted(links))
+    blocks = written(parts.withColumn("block", F.monotonically_increasing_id()))
+    # One document of each component of a block stands for it, as long as that makes them many fewer.
+    deeper = blocks
+    while deeper is not None:
+        few = deeper.select("group", F.explode(F.filter("members", lambda m: m["node"] == m["tree"])).alias("m")).select("group", "m.*").drop("tree")
+        if 2 * few.count() > deeper.agg(F.sum(F.size("members"))).head()[0]:
+            break
         counts = few.groupBy("group").agg(F.count("*").alias("n"))
-        more = group_links(few.join(counts.hint("merge"), "group"), limit)
-    trees = docs.filter("node <> tree").select(F.col("tree").alias("a"), F.col("node").alias("b"))
-    labels = components(trees if more is None else trees.unionAll(more))
-    known = docs.join(labels.hint("merge"), docs.node == labels.id, "left").withColumn("tree", F.coalesce("component", "node")).drop("id", "component")
-    sums = known.groupBy("group", "tree").agg(F.count("*").alias("m"))
-    largest = sums.groupBy("group").agg(F.max(F.struct("m", "tree"))["tree"].alias("largest"), F.count("*").alias("trees")).filter("trees > 1").select("group", "largest")
-    member = F.struct("node", "size", "sketch", "text", "tree", (F.col("tree") != F.col("largest")).alias("asks"))
-    blocks = written(known.join(largest.hint("merge"), "group").groupBy("group", "block").agg(F.collect_list(member).alias("members")))
+        found, deeper = _blocks(few.join(counts.hint("merge"), "group"), limit)
+        links = links.unionAll(found)
+    labels = components(contracted(links))
+    # Labels are looked up for the components of blocks, of which there are few, not for all members.
+    trees = blocks.select("group", "block", F.explode("trees").alias("t")).select("group", "block", "t.*")
+    known = trees.join(labels.hint("merge"), F.col("tree") == F.col("id"), "left").select("group", "block", "tree", "m", F.coalesce("component", "tree").alias("label"))
+    sums = known.groupBy("group", "label").agg(F.sum("m").alias("m"))
+    open_ = sums.groupBy("group").agg(F.max(F.struct("m", "label"))["label"].alias("largest"), F.count("*").alias("labels")).filter("labels > 1").drop("labels")
+    named = known.join(open_.hint("merge"), "group").groupBy("group", "block", "largest").agg(F.collect_list(F.struct("tree", "label")).alias("labels"))
+    shown = written(named.join(blocks.select("block", "members").hint("merge"), "block"))
     # Pairs of different components have a document outside of the largest one: that one asks, in all blocks but its own.
-    asking = blocks.select(F.col("block").alias("own"), F.filter("members", lambda m: m["asks"]).alias("asks")).filter(F.size("asks") > 0)
-    names = blocks.select("group", "block")
+    outside = F.transform(F.filter("labels", lambda x: x["label"] != F.col("largest")), lambda x: x["tree"])
+    asking = shown.select(F.col("block").alias("own"), F.col("labels").alias("own_labels"), F.filter("members", lambda m: F.array_contains(outside, m["tree"])).alias("asks")).filter(F.size("asks") > 0)
+    names = shown.select("group", "block")
     aimed = names.withColumnRenamed("block", "own").join(names.hint("merge"), "group").filter("own <> block").select("own", "block")
-    met = asking.join(aimed.hint("merge"), "own").select("block", "asks").join(blocks.select("block", "members").hint("merge"), "block").select("asks", "members")
-    out = links.unionAll(met.mapInArrow(_cross, "a long, b long"))
-    return out if more is None else out.unionAll(more)
+    met = asking.join(aimed.hint("merge"), "own").join(shown.select("block", "members", "labels").hint("merge"), "block").select("asks", "own_labels", "members", "labels")
+    crossed = written(met.mapInArrow(_cross, "a long, b long"))
+    return labels if crossed.isEmpty() else components(labels.select(F.col("component").alias("a"), F.col("id").alias("b")).unionAll(crossed))
 
 
 def contracted(links: DataFrame) -> DataFrame:
@@ -334,18 +353,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     classes = whole.groupBy("digest", "n_shingles").agg(F.min(F.struct("key", "mark")).alias("one"), F.first("sketch").alias("sketch"), F.first("halves").alias("halves"), F.count("*").alias("copies"))
     nodes = written(classes.select("digest", F.col("n_shingles").alias("size"), "one.key", "one.mark", "sketch", "halves", "copies").withColumn("id", F.monotonically_increasing_id()))
     buckets = bucket_rows(nodes).join(nodes.select("id", "sketch", "size").hint("merge"), "id")
-    trees = group_links(buckets.select(F.col("bucket").alias("group"), "n", F.col("id").alias("node"), "size", "sketch", F.lit(None).cast("string").alias("text")), BLOCK * OVERHEAD)
-    families = components(contracted(trees))
+    families = group_components(buckets.select(F.col("bucket").alias("group"), "n", F.col("id").alias("node"), "size", "sketch", F.lit(None).cast("string").alias("text")), BLOCK * OVERHEAD)
     counts = families.groupBy("component").agg(F.count("*").alias("n"))
     wanted = nodes.drop("digest", "halves").join(families.hint("merge"), "id").join(counts.hint("merge"), "component")
     found = written(_marked(docs, key, text).join(wanted.hint("merge"), ["key", "mark"]))
     texts = found.filter("copies = 1").unionAll(found.filter("copies > 1").dropDuplicates(["id"]))  # rows may be repeated
-    links = group_links(texts.select(F.col("component").alias("group"), "n", F.col("key").alias("node"), "size", "sketch", "text"), BLOCK_BYTES)
     node_of = rows.select("key", "digest", "n_shingles").join(nodes.select("digest", F.col("size").alias("n_shingles"), F.col("key").alias("node")).hint("merge"), ["digest", "n_shingles"], "left")
     several = whole.groupBy("key").agg(F.min(F.struct("digest", "n_shingles")).alias("a"), F.max(F.struct("digest", "n_shingles")).alias("z")).filter("a <> z").select("key")
+    same = None
     if not several.isEmpty():  # keys with several texts
-        links = links.unionAll(node_of.filter("node IS NOT NULL").join(several.hint("merge"), "key").select("node", "key"))
-    final = components(links)
+        same = node_of.filter("node < key").join(several.hint("merge"), "key").select(F.col("node").alias("a"), F.col("key").alias("b"))
+    final = group_components(texts.select(F.col("component").alias("group"), "n", F.col("key").alias("node"), "size", "sketch", "text"), BLOCK_BYTES, same)
     out = node_of.join(final.hint("merge"), node_of.node == final.id, "left").withColumn("component_id", F.when(F.col("key").isNotNull(), F.coalesce("component", "node", "key")))
     return out.select(F.col("key").alias(key), "n_shingles", "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))
 
