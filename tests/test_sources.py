@@ -1,3 +1,7 @@
+import collections
+import itertools
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,20 +12,40 @@ from ebbmark.sources import orders
 
 
 def test_synthetic_is_seeded_and_out_of_order(spark):
-    a = orders.synthetic(spark, 3000, seed=1, disorder=0.2)
-    assert sorted(a.collect()) == sorted(orders.synthetic(spark, 3000, seed=1, disorder=0.2).collect()) != sorted(orders.synthetic(spark, 3000, seed=2).collect())
-    late = analytics.disorder(a.select("id", F.col("timestamp").alias("ts")), "id", 500).head()
-    assert 0 < late["adjacent"] <= late["overall"] < 900
-    assert {r[0] for r in a.select("status").distinct().collect()} == set(orders.STATUSES)
+    market = orders.Market(late_share=0.2)
+    a = orders.synthetic(spark, 3000, 1, market).collect()
+    assert sorted(a) == sorted(orders.synthetic(spark, 3000, 1, market).collect()) != sorted(orders.synthetic(spark, 3000, 2, market).collect())
+    assert sorted(r["id"] for r in a) == list(range(3000))
+    late = analytics.disorder(spark.createDataFrame(a).select("id", F.col("timestamp").alias("ts")), "id", 500).head()
+    assert 300 < late["adjacent"] <= late["overall"] < 1500
+    by = collections.defaultdict(list)
+    for r in sorted(a, key=lambda r: r["id"]):
+        by[r["order_id"]].append(r)
+    whole = [rows for k, rows in by.items() if k < max(by)]
+    assert all([r["status"] for r in rows] == ["OPEN"] + ["PARTIAL"] * (len(rows) - 2) + ["FILLED"] for rows in whole) and {len(rows) for rows in whole} >= {2, 3, 4}
+    assert all(r["bid_price"] is None if r["status"] == "OPEN" else r["bid_price"] < r["ask_price"] for r in a)
+
+
+def test_prices_walk(spark):
+    market = orders.Market(tickers=3, pace=10)
+    walk = orders.prices(spark, 1000, 5, market).orderBy("ticker_no", "tick").collect()
+    assert len(walk) == 3 * 101
+    for x, y in itertools.pairwise(walk):
+        if x["ticker_no"] == y["ticker_no"]:
+            assert abs(abs(math.log(y["price"] / x["price"])) - math.log(1 + market.step)) < 1e-9
 
 
 def test_csv(spark, tmp_path):
     rows = orders.synthetic(spark, 30).drop("id")
     orders.export(rows.select([c.split()[0] for c in orders.SCHEMA.split(", ")]), f"{tmp_path}/good", "csv")
     assert orders.read_csv(spark, f"{tmp_path}/good").count() == 30
-    (tmp_path / "bad.csv").write_text("timestamp,ticker,isin,direction,status,amount,ask_price,bid_price,order_id,commission\n1,T,X,BUY,OPEN,10,1.5,,7,0\nx,T,X,BUY,OPEN,10,1.5,,7,0\n1,T,X,HOLD,OPEN,10,1.5,,7,0\n1,T,X,SELL,OPEN,-1,1.5,,7,0\n")
-    got = orders.read_csv(spark, f"{tmp_path}/bad.csv").collect()
-    assert len(got) == 1 and got[0]["bid_price"] is None
+    lines = [
+        "timestamp,ticker,isin,direction,status,amount,ask_price,bid_price,order_id,commission", "1,T,X,BUY,OPEN,10,1.5,,1,0", "x,T,X,BUY,OPEN,10,1.5,,2,0", "1,T,X,HOLD,OPEN,10,1.5,,3,0",
+        "1,T,X,SELL,OPEN,-5,-1.5,-2,4,-1", "1,T,X,SELL,OPEN,1,1.5,,5,", "1,T,X,SELL,OPEN,1,1.5,,6", "1,T,X,SELL,GONE,1,1.5,,7,0", "1,,,SELL,FILLED,1,1.5,,8,0", "1,T,X,SELL,FILLED,1,1.5,,9,0,more", "1,T,X,SELL,FILLED,1.5,1.5,,10,0",
+    ]
+    (tmp_path / "bad.csv").write_text("\n".join(lines) + "\n")
+    got = {r["order_id"]: r for r in orders.read_csv(spark, f"{tmp_path}/bad.csv").collect()}
+    assert sorted(got) == [1, 4, 8] and got[1]["bid_price"] is None and got[4]["amount"] == -5 and got[8]["ticker"] == ""
 
 
 def test_rolling_and_mixed(spark):
