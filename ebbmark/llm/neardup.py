@@ -6,15 +6,17 @@ words (fewer words: the whole sequence). Documents are linked where 100 * |inter
 1. Each document gets 48 minhashes, in two collections of 12 pairs. A table's key joins one pair of either collection, so
    144 tables come from 24 pairs: documents of similarity 0.75 share a key with probability 0.9999. Keys with one document
    go early: a pair that no other document has makes no key.
-2. Documents with equal sets become one. Buckets with the same members become one.
-3. In each bucket, documents with EQUAL of 48 minhashes are candidates, which hold documents together in families.
+2. Documents with equal sets become one.
+3. In each bucket, documents with EQUAL of 48 minhashes are candidates, which hold documents together in families. The 12
+   tables that share no pair go first; then all tables, but only buckets in which families still meet, so that a large group
+   of copies isn't gone through 144 times.
 4. In each family, candidates are verified on their full sets, by the texts, unless they are in one component already.
 
-Steps 3 and 4 go through groups in the same way. Groups are cut in blocks of bounded size where rows are sorted by range, so
-a large group is spread like all others. Within a block documents are compared in growing steps, and never with one that
-they are connected to. Of a group with several blocks, one document of each component of each block goes through the same
-again; then every document outside of the group's largest component is compared with all its blocks. So no pair of
-documents is a row, no large group meets in a task, and none is dropped.
+Steps 3 and 4 go through groups in the same way. A group is dealt in blocks of bounded size, each a key of its own in the
+shuffle, so a large group is spread like all others. Within a block documents are compared in growing steps, and never with
+one that they are connected to. Of a group with several blocks, one document of each component of each block goes through
+the same again; then every document outside of the group's largest component is compared with all its blocks. So no pair
+of documents is a row, no large group meets in a task, and none is dropped.
 
 Null or empty texts, and texts without words, have an empty set and no links. Rows with a null id have no links. Rows of
 one id are one node: it has the links of each of its texts.
@@ -43,6 +45,8 @@ LEAST = 75
 EQUAL = 21
 #: Documents of a block of minhashes, and bytes of text in a block of texts; each document counts as OVERHEAD bytes besides.
 BLOCK, BLOCK_BYTES, OVERHEAD = 4096, 8 << 20, 256
+#: Candidates of a document from which on an index of its block is asked.
+MANY = 16
 #: Documents that the components of a task hold before they are written as links.
 HELD = 200_000
 
@@ -117,7 +121,7 @@ def linked(common: int | np.ndarray, a: int | np.ndarray, b: int | np.ndarray) -
 
 def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Per row: key, mark (a hash of the text, to find it again), n_shingles, and for sets that aren't empty a digest, the minhashes, and their pairs as integers."""
-    types = {"key": pa.int64(), "mark": pa.int64(), "n_shingles": pa.int64(), "digest": pa.string(), "sketch": pa.binary(), "halves": pa.list_(pa.int32())}
+    types = {"key": pa.int64(), "mark": pa.int64(), "bytes": pa.int64(), "n_shingles": pa.int64(), "digest": pa.string(), "sketch": pa.binary(), "halves": pa.list_(pa.int32())}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, digest, sketch, halves = [], [], [], []
@@ -128,27 +132,35 @@ def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
             digest.append(f"{int(found.sum(dtype=np.uint64)):016x}{int(_mix(found).sum(dtype=np.uint64)):016x}" if len(found) else None)
             sketch.append(None if least is None else least.tobytes())
             halves.append(None if least is None else least.view(np.int32))
-        return arrays(types, {"key": batch.column("key").to_pylist(), "mark": batch.column("mark").to_pylist(), "n_shingles": n, "digest": digest, "sketch": sketch, "halves": halves})
+        return arrays(types, {"key": batch.column("key").to_pylist(), "mark": batch.column("mark").to_pylist(), "bytes": [len(x) for x in batch.column("text").to_pylist()], "n_shingles": n, "digest": digest, "sketch": sketch, "halves": halves})
 
-    return map_batches(_marked(docs, key, text), run, "key long, mark long, n_shingles long, digest string, sketch binary, halves array<int>", rows=256)
+    return map_batches(_marked(docs, key, text), run, "key long, mark long, bytes long, n_shingles long, digest string, sketch binary, halves array<int>", rows=256)
 
 
 def _marked(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(text_of(text)).alias("mark"), text_of(text).alias("text"))
 
 
-def bucket_rows(nodes: DataFrame) -> DataFrame:
-    """(bucket, n, id) for all buckets with at least two documents, of nodes (id, halves), each set of members once."""
+def shared_halves(nodes: DataFrame) -> DataFrame:
+    """(id, first, second): of nodes (id, halves) the pairs of either collection, as (k, h), that another document has too."""
     halves = nodes.select("id", F.posexplode("halves").alias("k", "h"))
     shared = halves.groupBy("k", "h").agg(F.count("*").alias("n")).filter("n > 1").select("k", "h")
+    side = lambda low: F.filter("halves", lambda x: (x["k"] < PAIRS) == F.lit(low))
     mine = halves.join(shared.hint("merge"), ["k", "h"]).groupBy("id").agg(F.collect_list(F.struct("k", "h")).alias("halves"))  # at most 24 for an id
-    first, second = F.filter("halves", lambda x: x["k"] < PAIRS), F.filter("halves", lambda x: x["k"] >= PAIRS)
+    return mine.select("id", side(True).alias("first"), side(False).alias("second"))
+
+
+def bucket_rows(mine: DataFrame, whole: bool) -> DataFrame:
+    """(bucket, n, id, label) for all buckets in which several labels meet, each set of members once. mine: id, label, first, second. whole: of all tables, else of the 12 that join the k-th pairs."""
+    same = lambda a, b: F.lit(True) if whole else a["k"] + PAIRS == b["k"]
     key = lambda a, b: F.xxhash64(a["k"], b["k"], a["h"], b["h"])
-    keys = F.flatten(F.transform(first, lambda a: F.transform(second, lambda b: key(a, b))))
-    rows = written(mine.select("id", F.explode(keys).alias("bucket")))
-    sums = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s"), F.min("id").alias("least"), F.max("id").alias("most")).filter("n > 1")
-    once = sums.groupBy("n", "s", "least", "most").agg(F.min("bucket").alias("bucket"))
-    return rows.join(once.select("bucket", "n").hint("merge"), "bucket").select("bucket", "n", "id")
+    keys = F.flatten(F.transform("first", lambda a: F.transform(F.filter("second", lambda b: same(a, b)), lambda b: key(a, b))))
+    rows = mine.select("id", "label", F.explode(keys).alias("bucket"))
+    sums = rows.groupBy("bucket").agg(
+        F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s"), F.min("id").alias("least"), F.max("id").alias("most"), F.min("label").alias("low"), F.max("label").alias("high")
+    )
+    once = sums.filter("low < high").groupBy("n", "s", "least", "most").agg(F.min("bucket").alias("bucket"))
+    return rows.join(once.select("bucket", "n").hint("merge"), "bucket").select("bucket", "n", "id", "label")
 
 
 class _Forest:
@@ -184,12 +196,27 @@ class _Members:
         self.sizes = np.array([r["size"] for r in rows], np.int64)
         self.sketch = np.frombuffer(b"".join(r["sketch"] for r in rows) or bytearray(), np.uint16).reshape(len(rows), HASHES)
         self.texts = bool(rows) and rows[0]["text"] is not None
+        self.index: tuple[np.ndarray, ...] | None = None
 
     def set_of(self, k: int) -> np.ndarray:
         if k not in self.sets:
             self.sets[k] = shingles(self.rows[k]["text"])
         return self.sets[k]
 
+    def common(self, mine: np.ndarray) -> np.ndarray:
+        """How many shingles each document shares with a set, by an index of all."""
+        if self.index is None:
+            sets = [self.set_of(k) for k in range(len(self.rows))]
+            all_, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            order = np.argsort(all_, kind="stable")
+            words, starts = np.unique(all_[order], return_index=True)
+            self.index = words, np.append(starts, len(all_)), of[order]
+        words, starts, of = self.index
+        at = np.minimum(np.searchsorted(words, mine), len(words) - 1)
+        at = at[words[at] == mine]
+        found = [of[a:b] for a, b in zip(starts[at].tolist(), starts[at + 1].tolist(), strict=True)]
+        return np.bincount(np.concatenate(found), minlength=len(self.rows)) if found else np.zeros(len(self.rows), np.int64)
+
 
 def _steps(n: int) -> Iterator[tuple[int, int]]:
     """Ranges below n that grow from one to 256: what the first ones connect, later ones need not compare."""
@@ -213,14 +240,6 @@ def _candidates(left: _Members, a: int, b: int, right: _Members, forest: _Forest
     return i[at], j[at]
 
 
-def _similar(mine: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
-    """Which of the sets are linked with mine. None is empty."""
-    sizes, all_ = np.array([len(s) for s in sets]), np.concatenate(sets)
-    at = np.minimum(np.searchsorted(mine, all_), len(mine) - 1)
-    common = np.add.reduceat((mine[at] == all_).astype(np.int64), np.concatenate(([0], np.cumsum(sizes)[:-1])))
-    return linked(common, len(mine), sizes)
-
-
 def _connect(forest: _Forest, left: _Members, right: _Members, same: bool) -> None:
     """Joins what is linked: by full sets, or where there are no texts all candidates."""
     for a, b in _steps(len(left.nodes)):
@@ -231,14 +250,13 @@ def _connect(forest: _Forest, left: _Members, right: _Members, same: bool) -> No
             continue
         ends = np.flatnonzero(np.diff(i, append=-1)) + 1
         for start, end in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True) if len(i) else ():
-            x, k, width = int(i[start]), start, 1  # the most similar one alone, then many at once
-            while k < end:
-                own = forest.root(left.nodes[x])
-                others = [y for y in j[k : min(end, k + width)].tolist() if forest.root(right.nodes[y]) != own]
-                if others:
-                    for y in np.flatnonzero(_similar(left.set_of(x), [right.set_of(y) for y in others])).tolist():
-                        forest.join(left.nodes[x], right.nodes[others[y]])
-                k, width = k + width, 256
+            x, mine = int(i[start]), left.set_of(int(i[start]))
+            common = right.common(mine) if end - start > MANY else None
+            for y in j[start:end].tolist():
+                if forest.root(left.nodes[x]) != forest.root(right.nodes[y]):
+                    n = int(common[y]) if common is not None else len(np.intersect1d(mine, right.set_of(y), assume_unique=True))
+                    if linked(n, len(mine), int(right.sizes[y])):
+                        forest.join(left.nodes[x], right.nodes[y])
 
 
 _MEMBER = pa.struct([("node", pa.int64()), ("size", pa.int64()), ("sketch", pa.binary()), ("text", pa.string()), ("tree", pa.int64())])
@@ -246,10 +264,10 @@ _TREE = pa.struct([("tree", pa.int64()), ("m", pa.int64())])
 _CUT = "a long, b long, group long, members array<struct<node:long,size:long,sketch:binary,text:string,tree:long>>, trees array<struct<tree:long,m:long>>"
 
 
-def _cut(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by group. Blocks are gone through one by one: links (a, b), each from a component's least document; and of groups that aren't whole in one block its members, each with its component in the block, and the sizes of these."""
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by group and block. Blocks are gone through one by one: links (a, b), each from a component's least document; and of groups of several blocks the members, each with its component in the block, and the sizes of these."""
     types = {"a": pa.int64(), "b": pa.int64(), "group": pa.int64(), "members": pa.list_(_MEMBER), "trees": pa.list_(_TREE)}
-    forest, held, size, group, n = _Forest(), [], 0, None, 0
+    forest, held, now = _Forest(), [], None
 
     def links() -> Iterator[pa.RecordBatch]:
         if found := forest.links():
@@ -261,23 +279,22 @@ def _cut(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBat
         if held:
             block = _Members(held)
             _connect(forest, block, block, True)
-            if len(held) < n:
+            if now[2] > 1:
                 first: dict[int, int] = {}
                 for row in held:
                     row["tree"] = first.setdefault(forest.root(row["node"]), row["node"])
                 trees = [{"tree": tree, "m": m} for tree, m in Counter(row["tree"] for row in held).items()]
-                yield arrays(types, {"a": [None], "b": [None], "group": [group], "members": [held], "trees": [trees]})
+                yield arrays(types, {"a": [None], "b": [None], "group": [now[0]], "members": [held], "trees": [trees]})
             if len(forest.up) > HELD:
                 yield from links()
 
     for batch in batches:
         for a in range(0, batch.num_rows, 64):
             for row in batch.slice(a, 64).to_pylist():
-                if row["group"] != group or size >= limit:
+                if (row["group"], row["block"], row["blocks"]) != now:
                     yield from done()
-                    held, size, group, n = [], 0, row["group"], row["n"]
+                    held, now = [], (row["group"], row["block"], row["blocks"])
                 held.append({"node": row["node"], "size": row["size"], "sketch": row["sketch"], "text": row["text"]})
-                size += len(row["text"] or "") + OVERHEAD
     yield from done()
     yield from links()
 
@@ -296,21 +313,25 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield arrays({"a": pa.int64(), "b": pa.int64()}, {"a": [x for x, _ in found], "b": [y for _, y in found]})
 
 
-def _blocks(rows: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None]:
+def _blocks(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """The links that blocks give, and the blocks of groups that have several: None where no group has."""
-    placed = rows.select("group", "n", "node", "size", "sketch", "text", F.xxhash64("node").alias("place"))
-    sorted_ = placed.repartitionByRange("group", "place").sortWithinPartitions("group", "place")
-    cut = written(sorted_.mapInArrow(lambda batches: _cut(batches, limit), _CUT))
+    dealt = rows.select("group", "blocks", F.pmod("place", "blocks").alias("block"), "node", "size", "sketch", "text")
+    cut = written(dealt.repartition("group", "block").sortWithinPartitions("group", "block").mapInArrow(_cut, _CUT))
     parts = cut.filter("members IS NOT NULL")
     return cut.filter("members IS NULL").select("a", "b"), None if parts.isEmpty() else parts.select("group", "members", "trees")
 
 
+def in_blocks(size, limit: int):
+    """How many blocks of limit bytes a group of that size has."""
+    return F.greatest(F.lit(1), F.ceil(size / limit)).cast("long")
+
+
 def group_components(rows: DataFrame, limit: int, links: DataFrame | None = None) -> DataFrame:
-    """(id, component): what the linked documents of all groups, and other links, connect; ids without a link are left out. rows: group, n (its rows), node, size, sketch, text (null: by minhashes alone). limit: bytes of a block."""
-    found, parts = _blocks(rows, limit)
+    """(id, component): what the linked documents of all groups, and other links, connect; ids without a link are left out. rows: group, blocks (how many it has), place (a hash that deals its rows), node, size, sketch, text (null: by minhashes alone). limit: bytes of a block."""
+    found, parts = _blocks(rows)
     links = found if links is None else found.unionAll(links)
     if parts is None:
-        return components(contracted(links))
+        return components(links)
     blocks = written(parts.withColumn("block", F.monotonically_increasing_id()))
     # One document of each component of a block stands for it, as long as that makes them many fewer.
     deeper = blocks
@@ -318,10 +339,10 @@ def group_components(rows: DataFrame, limit: int, links: DataFrame | None = None
         few = deeper.select("group", F.explode(F.filter("members", lambda m: m["node"] == m["tree"])).alias("m")).select("group", "m.*").drop("tree")
         if 2 * few.count() > deeper.agg(F.sum(F.size("members"))).head()[0]:
             break
-        counts = few.groupBy("group").agg(F.count("*").alias("n"))
-        found, deeper = _blocks(few.join(counts.hint("merge"), "group"), limit)
+        counts = few.groupBy("group").agg(in_blocks(F.sum(F.length(F.coalesce("text", F.lit(""))) + OVERHEAD), limit).alias("blocks"))
+        found, deeper = _blocks(few.withColumn("place", F.xxhash64("node")).join(counts.hint("merge"), "group"))
         links = links.unionAll(found)
-    labels = components(contracted(links))
+    labels = components(links)
     # Labels are looked up for the components of blocks, of which there are few, not for all members.
     trees = blocks.select("group", "block", F.explode("trees").alias("t")).select("group", "block", "t.*")
     known = trees.join(labels.hint("merge"), F.col("tree") == F.col("id"), "left").select("group", "block", "tree", "m", F.coalesce("component", "tree").alias("label"))
@@ -339,23 +360,31 @@ def group_components(rows: DataFrame, limit: int, links: DataFrame | None = None
     return labels if crossed.isEmpty() else components(labels.select(F.col("component").alias("a"), F.col("id").alias("b")).unionAll(crossed))
 
 
-def contracted(links: DataFrame) -> DataFrame:
-    """Links that connect the same nodes as links (a, b) with a < b: each b goes to the least of its partners, of which there is at most one for each of its tables, and the other partners go to that one."""
-    partners = links.groupBy("b").agg(F.array_sort(F.collect_set("a")).alias("of"))
-    pairs = partners.select(F.explode(F.array_append(F.transform("of", lambda x: F.struct(F.col("of")[0].alias("a"), x.alias("b"))), F.struct(F.col("of")[0].alias("a"), F.col("b")))).alias("p"))
-    return pairs.select("p.a", "p.b").filter("a <> b").distinct()
+def family_labels(nodes: DataFrame) -> DataFrame:
+    """Of nodes (id, sketch, halves, ..) those that are candidates with another one, with component: the family that candidates hold together."""
+    mine = written(shared_halves(nodes))
+
+    def merged(labelled: DataFrame, whole: bool, links: DataFrame | None) -> DataFrame:
+        buckets = bucket_rows(labelled, whole).join(nodes.select("id", "sketch", "size").hint("merge"), "id")
+        blocks = in_blocks(F.col("n") * OVERHEAD, BLOCK * OVERHEAD)
+        rows = buckets.select(F.col("bucket").alias("group"), blocks.alias("blocks"), F.xxhash64("id").alias("place"), F.col("label").alias("node"), "size", "sketch", F.lit(None).cast("string").alias("text"))
+        return group_components(rows, BLOCK * OVERHEAD, links)
+
+    first = merged(mine.withColumn("label", F.col("id")), False, None)
+    labelled = written(mine.join(first.hint("merge"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component"))
+    last = merged(labelled, True, first.select(F.col("component").alias("a"), F.col("id").alias("b")))
+    return written(nodes.drop("digest", "halves").join(last.hint("merge"), "id"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: key, n_shingles, component_id (smallest key reachable), kept (key is component_id)."""
     rows = written(sketches(docs, key, text))
     whole = rows.filter("key IS NOT NULL AND digest IS NOT NULL")
-    classes = whole.groupBy("digest", "n_shingles").agg(F.min(F.struct("key", "mark")).alias("one"), F.first("sketch").alias("sketch"), F.first("halves").alias("halves"), F.count("*").alias("copies"))
-    nodes = written(classes.select("digest", F.col("n_shingles").alias("size"), "one.key", "one.mark", "sketch", "halves", "copies").withColumn("id", F.monotonically_increasing_id()))
-    buckets = bucket_rows(nodes).join(nodes.select("id", "sketch", "size").hint("merge"), "id")
-    families = group_components(buckets.select(F.col("bucket").alias("group"), "n", F.col("id").alias("node"), "size", "sketch", F.lit(None).cast("string").alias("text")), BLOCK * OVERHEAD)
-    counts = families.groupBy("component").agg(F.count("*").alias("n"))
-    wanted = nodes.drop("digest", "halves").join(families.hint("merge"), "id").join(counts.hint("merge"), "component")
+    classes = whole.groupBy("digest", "n_shingles").agg(F.min(F.struct("key", "mark", "bytes")).alias("one"), F.first("sketch").alias("sketch"), F.first("halves").alias("halves"), F.count("*").alias("copies"))
+    nodes = written(classes.select("digest", F.col("n_shingles").alias("size"), "one.*", "sketch", "halves", "copies").withColumn("id", F.monotonically_increasing_id()))
+    families = family_labels(nodes)
+    counts = families.groupBy("component").agg(in_blocks(F.sum(F.col("bytes") + OVERHEAD), BLOCK_BYTES).alias("blocks"))
+    wanted = families.join(counts.hint("merge"), "component")
     found = written(_marked(docs, key, text).join(wanted.hint("merge"), ["key", "mark"]))
     texts = found.filter("copies = 1").unionAll(found.filter("copies > 1").dropDuplicates(["id"]))  # rows may be repeated
     node_of = rows.select("key", "digest", "n_shingles").join(nodes.select("digest", F.col("size").alias("n_shingles"), F.col("key").alias("node")).hint("merge"), ["digest", "n_shingles"], "left")
@@ -363,7 +392,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     same = None
     if not several.isEmpty():  # keys with several texts
         same = node_of.filter("node < key").join(several.hint("merge"), "key").select(F.col("node").alias("a"), F.col("key").alias("b"))
-    final = group_components(texts.select(F.col("component").alias("group"), "n", F.col("key").alias("node"), "size", "sketch", "text"), BLOCK_BYTES, same)
+    final = group_components(texts.select(F.col("component").alias("group"), "blocks", F.xxhash64("id").alias("place"), F.col("key").alias("node"), "size", "sketch", "text"), BLOCK_BYTES, same)
     out = node_of.join(final.hint("merge"), node_of.node == final.id, "left").withColumn("component_id", F.when(F.col("key").isNotNull(), F.coalesce("component", "node", "key")))
     return out.select(F.col("key").alias(key), "n_shingles", "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))
 
