@@ -3,7 +3,8 @@
 The merges run in the tokenizers library's BPE model, which works on characters: each byte of a text is mapped to a
 printable character before, and back after decoding. Texts come in Arrow batches. A text is cut where a space stands
 between two visible characters: no match of the pattern reaches over such a place, so the pieces encode separately, and
-repeated pieces are encoded once for each worker (caches are bounded). Null texts count as empty; an empty text has no ids.
+repeated pieces are encoded once for each worker, in caches that are bounded by bytes and hold no long piece. Null texts
+count as empty; an empty text has no ids; repeated rows encode alike, and very long texts and pieces as a whole.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers
 
 from .shared import arrays, map_batches, text_of
 
-#: Pieces kept by a worker.
-CACHED = 600_000
+#: Bytes of the largest of a worker's caches, about; characters of the longest piece that is kept, and bytes that an entry has besides.
+CACHED, LONGEST, ENTRY = 96 << 20, 48, 160
 
 _TWO_SPACES = re.compile(r" \s|\s ")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -40,16 +41,20 @@ def byte_table() -> dict[int, str]:
 
 
 class _Cache(dict):
-    """Values by key, computed where missing; emptied when full."""
+    """Values by key, computed where missing; long keys aren't kept, and a full cache is emptied."""
 
     def __init__(self, make: Callable[[str], bytes], limit: int):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.held = make, limit, 0
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[key] = self.make(key)
+        value = self.make(key)
+        if len(key) <= LONGEST:
+            self.held += len(key) + len(value) + ENTRY
+            if self.held > self.limit:
+                self.clear()
+                self.held = len(key) + len(value) + ENTRY
+            self[key] = value
         return value
 
 

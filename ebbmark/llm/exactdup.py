@@ -21,10 +21,10 @@ from .shared import text_of, written
 FIRST, WIDER = 64, 16
 
 
-def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", first: int = FIRST, wider: int = WIDER) -> DataFrame:
-    """One row per document: key, keep_id (largest key of the group of equal texts), group_size, kept (key is keep_id), and text_sha256."""
+def _settled(docs: DataFrame, key: str, text: str, first: int, wider: int, carry: list[str]) -> DataFrame:
+    """Per row: key, text_sha256, keep_id, group_size, group (a number of the group of equal texts, null where it has one row), and the columns to carry."""
     data = text_of(text).cast("binary")
-    still = docs.select(F.col(key).cast("long").alias("key"), F.sha2(data, 256).alias("text_sha256"), F.lit(0).cast("long").alias("group"), data.alias("rest"))
+    still = docs.select(F.col(key).cast("long").alias("key"), F.sha2(data, 256).alias("text_sha256"), F.lit(0).cast("long").alias("group"), data.alias("rest"), *carry)
     done, width = [], first
     while True:
         head = still.withColumns({"chunk": F.substring("rest", 1, width), "ended": F.length("rest") <= width})
@@ -34,35 +34,30 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", first
         settled = F.col("n").isNull() | F.col("ended")
         split = written(
             head.join(groups.hint("merge"), by, "left").select(
-                "key", "text_sha256", settled.alias("settled"), "next",
+                "key", "text_sha256", settled.alias("settled"), "next", *carry,
                 F.coalesce("n", F.lit(1)).alias("group_size"), F.when(F.col("n").isNull(), F.col("key")).otherwise(F.col("keep")).alias("keep_id"),
                 F.when(~settled, F.substring("rest", width + 1, 2**31 - 1 - width)).alias("rest"),
             )
         )
-        done.append(split.filter("settled").select("key", "keep_id", "group_size", "text_sha256"))
-        still = split.filter("NOT settled").select("key", "text_sha256", F.col("next").alias("group"), "rest")
+        done.append(split.filter("settled").select("key", "text_sha256", "keep_id", "group_size", F.lit(len(done)).alias("round"), F.col("next").alias("group"), *carry))
+        still = split.filter("NOT settled").select("key", "text_sha256", F.col("next").alias("group"), "rest", *carry)
         if still.isEmpty():
-            break
+            return reduce(DataFrame.unionAll, done)
         width *= wider
-    out = reduce(DataFrame.unionAll, done)
+
+
+def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", first: int = FIRST, wider: int = WIDER) -> DataFrame:
+    """One row per document: key, keep_id (largest key of the group of equal texts), group_size, kept (key is keep_id), and text_sha256."""
+    out = _settled(docs, key, text, first, wider, [])
     return out.select(F.col("key").alias(key), "keep_id", "group_size", F.col("key").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each group of equal texts: the one with the largest key, and any one of repeated rows. Rows with a null key stay only if their text has no other row with a key."""
-    groups = exact_groups(docs, key, text).select(F.col(key).alias("__key"), "kept", F.col("text_sha256").alias("__sha")).filter("__key IS NOT NULL")
-    counts = written(groups.groupBy("__key").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).filter("NOT kept OR n > 1"))
-    out = docs.join(counts.filter("NOT kept").select("__key").hint("merge"), F.col(key) == F.col("__key"), "left_anti")
-    again = counts.filter("n > 1").select("__key")
-    if not again.isEmpty():
-        # A key with several texts: each of its rows by its own decision.
-        lost = groups.filter("NOT kept").join(again, "__key", "left_semi").select(F.col("__key"), F.col("__sha").alias("__lost"))
-        repeated = out.join(again, F.col(key) == F.col("__key"), "left_semi").withColumn("__sha", F.sha2(text_of(text).cast("binary"), 256))
-        repeated = repeated.join(lost, (F.col(key) == F.col("__key")) & (F.col("__sha") == F.col("__lost")), "left_anti").dropDuplicates([key, "__sha"]).drop("__sha")
-        out = out.join(again, F.col(key) == F.col("__key"), "left_anti").unionByName(repeated)
-    nameless = exact_groups(docs, key, text).filter(f"`{key}` IS NULL AND keep_id IS NOT NULL").select(F.col("text_sha256").alias("__sha")) if docs.filter(F.col(key).isNull()).limit(1).count() else None
-    if nameless is not None:
-        bare = out.filter(F.col(key).isNull())
-        bare = bare.join(nameless, F.sha2(text_of(text).cast("binary"), 256) == F.col("__sha"), "left_anti").dropDuplicates([text])
-        out = out.filter(F.col(key).isNotNull()).unionByName(bare)
-    return out
+    """docs with one row of each group of equal texts: one with the largest key (null is the smallest), any one where that key is repeated. Each row is decided by itself, whatever other rows its key has."""
+    names = {c: f"__{i}_{c}" for i, c in enumerate(docs.columns)}
+    rows = _settled(docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"), *[F.col(c).alias(n) for c, n in names.items()]), "__key", "__text", FIRST, WIDER, list(names.values()))
+    best = rows.filter(F.col("key").eqNullSafe(F.col("keep_id")))
+    single, several = best.filter("group IS NULL"), best.filter("group IS NOT NULL")
+    # Rows of a repeated key: one for each group and key, pre-aggregated before they meet.
+    one = several.groupBy("round", "group").agg(F.first(F.struct(*names.values())).alias("r")).select("r.*")
+    return single.select(*names.values()).unionAll(one).toDF(*names)

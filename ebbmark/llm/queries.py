@@ -26,8 +26,9 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The digest is taken of the texts as they come out of the shuffle.
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "source", F.round("rate", 9).alias("rate"), F.col("copies").cast("long").alias("copies"), F.col("copy").cast("long").alias("copy"), "place")
+    return mixed.select("doc_id", "source", F.round("rate", 9).alias("rate"), F.col("copies").cast("long").alias("copies"), F.col("copy").cast("long").alias("copy"), "place", F.sha2(text_of("text").cast("binary"), 256).alias("text_sha256"))
 
 
 def held_out(key: str = "doc_id"):
@@ -84,13 +85,17 @@ ORACLES = {
         WITH sizes AS (SELECT source, sum(length(coalesce(text, ''))) AS size FROM documents GROUP BY source),
         weighed AS (SELECT source, size, CASE WHEN size > 0 THEN pow(size, {mixing.POWER}) ELSE 0 END AS weight FROM sizes),
         rates AS (SELECT source, CASE WHEN size > 0 THEN (SELECT sum(size) FROM sizes) * weight / (SELECT sum(weight) FROM weighed) / size ELSE 0 END AS rate FROM weighed),
+        parts AS (SELECT source, rate, greatest(1, ceil(rate / {mixing.MOST_RATE}))::INT AS draws FROM rates),
         steps AS (
-            SELECT source, k, floor(sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) * {2**mixing.BITS}.0)::BIGINT AS step
-            FROM rates, range(0, 400) r(k) WHERE rate > 0 AND k <= (rate + 12 * sqrt(rate) + 30)::INT
+            SELECT source, k, floor(sum(exp(k * ln(rate / draws) - rate / draws - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) * {2**mixing.BITS}.0)::BIGINT AS step
+            FROM parts, range(0, 1000) r(k) WHERE rate > 0 AND k <= (rate / draws + 12 * sqrt(rate / draws) + 30)::INT
         ),
-        numbered AS (SELECT doc_id, source, ('0x' || substr(md5('{mixing.SEED}|count|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT AS u FROM documents),
-        drawn AS (SELECT doc_id, n.source, count(*) AS copies FROM numbered n JOIN steps s ON n.source IS NOT DISTINCT FROM s.source AND s.step <= n.u GROUP BY doc_id, n.source)
-        SELECT doc_id, d.source, round(rate, 9) AS rate, copies, c::BIGINT AS copy,
+        numbered AS (
+            SELECT doc_id, d.source, sha256(coalesce(text, '')) AS text_sha256, ('0x' || substr(md5('{mixing.SEED}|count' || CASE WHEN j = 0 THEN '' ELSE j::VARCHAR END || '|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT AS u
+            FROM documents d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source, range(0, draws) x(j)
+        ),
+        drawn AS (SELECT doc_id, n.source, text_sha256, count(*) AS copies FROM numbered n JOIN steps s ON n.source IS NOT DISTINCT FROM s.source AND s.step <= n.u GROUP BY doc_id, n.source, text_sha256)
+        SELECT doc_id, d.source, round(rate, 9) AS rate, copies, c::BIGINT AS copy, text_sha256,
             ('0x' || substr(md5('{mixing.SEED}|place|' || doc_id::VARCHAR || '|' || c::VARCHAR), 1, 13))::BIGINT AS place
         FROM drawn d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source, range(0, copies) x(c)
     """,
@@ -101,7 +106,7 @@ ORACLES = {
         ), whole AS (
             SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn) AS turns,
                 coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '') AS said,
-                sum(length('<|turn|><|says|><|end|>') + length(role) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g'))) AS formatted
+                sum(length('<|turn|><|says|><|end|>') + length(replace(role, '<', '<\')) + length(replace(text, '<', '<\'))) AS formatted
             FROM rows GROUP BY conv_id
         )
         SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(said) AS loss_chars, sha256(said) AS loss_sha256, formatted::BIGINT AS formatted_chars FROM whole

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import math
 import uuid
 import zlib
 from collections.abc import Iterable
@@ -29,6 +30,8 @@ from .bpe import codec
 from .shared import arrays, map_batches, text_of
 
 LEAST = -(2**63)
+#: Characters of text in a shard, about; leading bits by which keys are counted at once.
+SHARD_BYTES, BIN_BITS = 32 << 20, 12
 
 
 def filesystem(folder: str) -> tuple[fs.FileSystem, str]:
@@ -57,19 +60,40 @@ def take(folder: str, name: str) -> pa.Buffer:
         return file.read_buffer()
 
 
+def shard_count(docs: DataFrame, text: str, shard_bytes: int = SHARD_BYTES) -> int:
+    """Shards of about so many characters of text."""
+    return max(1, math.ceil((docs.agg(F.sum(F.length(text_of(text)))).head()[0] or 0) / shard_bytes))
+
+
 def shard_bounds(docs: DataFrame, key: str, shards: int) -> list[int]:
-    """Where shards begin, from the second on: quantiles of all keys."""
-    if shards < 2:
+    """Where shards begin, from the second on. Keys are counted by their leading bits, and where many share them by more bits, so the bounds depend on the keys alone, not on partitions; what comes to the driver is a count for at most 2**BIN_BITS prefixes and for each that is split again."""
+    sign = -(2**63)
+    keys = docs.select(F.col(key).cast("long").bitwiseXOR(F.lit(sign)).alias("k")).filter("k IS NOT NULL")  # in order as unsigned numbers
+    least, most, total = docs.agg(F.min(F.col(key).cast("long")), F.max(F.col(key).cast("long")), F.count(F.col(key))).head()
+    if shards < 2 or not total or least == most:
         return []
-    cuts = docs.select(F.percentile_approx(F.col(key).cast("long"), [k / shards for k in range(1, shards)], 100 * shards)).head()[0]
-    return sorted(set(cuts or []))
+    shift = max(0, ((least ^ most) & (2**64 - 1)).bit_length() - BIN_BITS)
+    counted = {r["p"]: r["n"] for r in keys.groupBy(F.shiftrightunsigned("k", shift).alias("p")).agg(F.count("*").alias("n")).collect()}
+    leaves: list[tuple[int, int]] = []  # first unsigned key of a prefix, and its keys
+    while counted:
+        heavy = {p for p, n in counted.items() if shift and 8 * n * shards > total}
+        leaves += [((p << shift) % 2**64, n) for p, n in counted.items() if p not in heavy]
+        counted = {}
+        if heavy:
+            inside = keys.filter(F.shiftrightunsigned("k", shift).isin(*heavy))
+            shift = max(0, shift - BIN_BITS)
+            counted = {r["p"]: r["n"] for r in inside.groupBy(F.shiftrightunsigned("k", shift).alias("p")).agg(F.count("*").alias("n")).collect()}
+    cuts, before, previous = set(), 0, 0
+    for start, n in sorted(leaves):
+        if before and before * shards // total != (before - previous) * shards // total:
+            cuts.add(start - 2**63)
+        before, previous = before + n, n
+    return sorted(cuts)
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 0, shards: int | None = None) -> dict:
     """Encodes every document, writes the files, and returns the manifest. Only one count per shard comes to the driver."""
-    spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = shard_bounds(docs, key, shards)
+    bounds = shard_bounds(docs, key, shards or shard_count(docs, text))
     wide = codec(tokenizer).size > 2**16
     kind = np.dtype("<u4" if wide else "<u2")
 
@@ -130,8 +154,9 @@ def read_token_files(spark: SparkSession, folder: str, key: str = "doc_id") -> D
     def read(batches):
         for batch in batches:
             for entry in batch.column("entry").to_pylist():
-                rows = [(None if k == LEAST else k, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for k, start, ids in documents_of(folder, manifest, json.loads(entry))]
-                yield arrays(types, {n: [r[i] for r in rows] for i, n in enumerate(types)})
+                found = ((None if k == LEAST else k, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for k, start, ids in documents_of(folder, manifest, json.loads(entry)))
+                while rows := list(itertools.islice(found, 10_000)):
+                    yield arrays(types, {n: [r[i] for r in rows] for i, n in enumerate(types)})
 
     entries = spark.createDataFrame([(place, json.dumps(e)) for place, e in enumerate(manifest["shards"])], "place int, entry string")
     dealt = entries.repartitionById(max(1, len(manifest["shards"])), "place")

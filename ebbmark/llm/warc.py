@@ -3,10 +3,12 @@
 Pages are range-partitioned and sorted by page id; each task writes its records as gzip members into files that roll over
 once their compressed size reaches a limit. Headers and digests are made anew from the payload, record ids from page id
 and digest, and dates are a parameter, so equal input gives equal files. Files are written under temporary names and
-renamed; the manifest, which lists them with their sizes and digests, comes last and commits the archive.
+renamed; the manifest, which lists them with their sizes and digests, comes last and commits the archive. Shards begin where
+exact counts of page ids put them, and their number follows from the size of the payloads, so neither depends on how the
+input is partitioned.
 
 Of records with equal payloads of at least LEAST_SHARED bytes, the one with the largest page id is the response and the
-others are revisits of it. Null html counts as empty, a null url as urn:page:<id>. A null page id is the smallest and is
+others are revisits of it; payloads are equal where their SHA-256 is. Null html counts as empty, a null url as urn:page:<id>. A null page id is the smallest and is
 written as none. Rows of one page id and payload are all of one type. No rows give an archive without files.
 """
 
@@ -20,12 +22,14 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import arrays, text_of, written
-from .tokenfiles import LEAST, put, shard_bounds, take
+from .tokenfiles import LEAST, put, shard_bounds, shard_count, take
 
 LEAST_SHARED = 1000
 #: Compressed bytes after which a file is closed, and the date of all records.
@@ -101,23 +105,20 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
 
 def revisits(pages: DataFrame) -> DataFrame:
     """(page, digest, refers_to) for the rows that revisit another page. pages: page, payload."""
-    narrow = pages.select("page", F.sha1("payload").alias("digest"), F.length("payload").alias("size")).filter(f"size >= {LEAST_SHARED}")
+    narrow = pages.select("page", F.sha2("payload", 256).alias("digest"), F.length("payload").alias("size")).filter(f"size >= {LEAST_SHARED}")
     groups = narrow.groupBy("digest", "size").agg(F.max("page").alias("refers_to"), F.count("*").alias("n")).filter("n > 1")
     return narrow.join(groups, ["digest", "size"]).filter("page < refers_to").select("page", "digest", "refers_to").distinct()
 
 
 def write_archive(pages: DataFrame, folder: str, page: str = "page_id", url: str = "url", source: str = "html", shards: int | None = None, roll: int = ROLL, date: str = DATE) -> dict:
     """Writes the files and the manifest, which is returned."""
-    spark = pages.sparkSession
-    bounds = shard_bounds(pages, page, shards or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    bounds = shard_bounds(pages, page, shards or shard_count(pages, source))
     rows = pages.select(F.coalesce(F.col(page).cast("long"), F.lit(LEAST)).alias("page"), F.col(url).cast("string").alias("url"), text_of(source).cast("binary").alias("payload"))
     again = written(revisits(rows))
     again = F.broadcast(again) if again.count() <= MOST_BROADCAST else again
-    place = F.lit(0)
-    if bounds:
-        edges = F.array(*[F.lit(b) for b in bounds])
-        place = F.size(F.filter(edges, lambda b: b <= F.col("page")))
-    joined = rows.withColumn("digest", F.sha1("payload")).join(again, ["page", "digest"], "left").withColumn("shard", place)
+    edges = np.array(bounds, np.int64)
+    place = F.pandas_udf(lambda keys: pd.Series(np.searchsorted(edges, keys.to_numpy(), "right")), "int")("page")
+    joined = rows.withColumn("digest", F.sha2("payload", 256)).join(again, ["page", "digest"], "left").drop("digest").withColumn("shard", place)
 
     def save(batches):
         files, parts, size, records, shard, name = [], [], 0, 0, None, ""
@@ -146,7 +147,7 @@ def write_archive(pages: DataFrame, folder: str, page: str = "page_id", url: str
         if files:
             yield arrays({"name": pa.string(), "records": pa.int64(), "bytes": pa.int64(), "sha256": pa.string()}, {n: [f[i] for f in files] for i, n in enumerate(("name", "records", "bytes", "sha256"))})
 
-    dealt = joined.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("page", "digest", "url")
+    dealt = joined.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("page", "payload", "url")
     files = dealt.mapInArrow(save, "name string, records long, bytes long, sha256 string").collect()  # a row for a file
     manifest = {"date": date, "records": sum(f["records"] for f in files), "files": sorted((f.asDict() for f in files), key=lambda f: f["name"])}
     put(folder, "manifest.json", [json.dumps(manifest, indent=1).encode()])
