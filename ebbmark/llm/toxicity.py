@@ -1,21 +1,28 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick in folded text.
 
-Folding lowers letters, maps look-alike letters of other scripts and digits used as letters to plain ones, drops invisible
-characters and turns punctuation into spaces. Lexicon terms are beginnings of words and whole words; each weighs the log
-odds of toxic against other training documents that hold it. A match inside an exception phrase doesn't count. A
-document's score comes from its strongest match and from the sum of its matches divided by the root of its length.
+Folding brings characters to their compatible forms (NFKC), lowers letters, maps look-alike letters of other scripts and
+digits used as letters to plain ones, drops invisible characters and marks that belong to no letter, and turns punctuation
+into spaces; letters that one separator keeps apart come together as one word. Texts are matched with their accents, as
+these tell words of many languages apart, and once more without them. Lexicon terms are beginnings of words and whole words; each weighs the log odds of toxic
+against other training documents that hold it. Exception phrases are learned too: pairs of words whose one word matches a
+term, but which are beyond chance among documents that aren't toxic; others can be passed in. A match inside an exception
+phrase doesn't count. A document's score comes from its strongest match and from the sum of its matches divided by the root
+of its length.
 
 Training takes labelled rows alone: at most SAMPLE different ones, the first by a hash of the key; near copies count once. The
 lexicon learns on four parts of five of them and the two score coefficients on the fifth; then the lexicon learns on all.
 Null labels are no labels. With no labelled rows of both classes the lexicon is empty and every score is the prior.
-Null and empty texts get the score of a text without matches.
+Null and empty texts get the score of a text without matches; repeated rows are scored alike, and texts of any length as a
+whole, in time linear in length and matches. Columns that are called as the score are replaced.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -27,8 +34,8 @@ from pyspark.sql import functions as F
 from .neardup import shingles
 from .shared import arrays, map_batches, text_of, written
 
-#: Labelled rows to train on, and terms in the lexicon, at most.
-SAMPLE, TERMS = 30_000, 20_000
+#: Labelled rows to train on, at most.
+SAMPLE = 30_000
 #: Rows whose terms are counted in Python before Spark adds them up.
 COUNTED = 256
 #: Lengths of word beginnings that can be terms.
@@ -42,16 +49,23 @@ ALIKE = {
 }
 UNSEEN = "­​‌‍⁠﻿"
 MARKS = "\t\n\v\f\r!\"#%&'()*+,-./:;<=>?[\\]^_`{|}~«»“”‘’„–—…¿¡·•"
-#: Phrases in which a term is harmless.
-EXCEPTIONS = ("trash can", "trash bin", "trash collection", "class clown", "clown fish", "circus clown", "pond scum", "pathetic fallacy", "idiot proof")
-
 _FOLD = {ord(k): v for k, v in ALIKE.items()} | {ord(c): None for c in UNSEEN} | {ord(c): " " for c in MARKS}
-_FOLD |= {0xFF41 + k: chr(97 + k) for k in range(26)}  # full-width letters
 _WORD = re.compile(r"[^\W_]+")
+_APART = re.compile(r"(?<!\w)\w([ .\-*/+~|])\w(?:\1\w)+(?!\w)")
+
+
+def _without_marks(text: str) -> str:
+    return "".join([c for c in text if not unicodedata.combining(c)])
 
 
-def fold(text: str) -> str:
-    return f" {text.lower().translate(_FOLD)} "
+def fold(text: str, plain: bool = False) -> str:
+    """With one space before, behind and between words. plain: without accents."""
+    if not text.isascii():
+        text = _without_marks(unicodedata.normalize("NFKC", text))
+        if plain:
+            text = unicodedata.normalize("NFC", _without_marks(unicodedata.normalize("NFD", text)))
+    text = _APART.sub(lambda m: m[0].replace(m[1], ""), text.lower())
+    return f" {' '.join(text.translate(_FOLD).split())} "
 
 
 @dataclass
@@ -59,7 +73,7 @@ class Lexicon:
     """terms: a term begins with a space; one that ends with a space is a whole word."""
 
     terms: dict[str, float] = field(default_factory=dict)
-    exceptions: tuple[str, ...] = EXCEPTIONS
+    exceptions: tuple[str, ...] = ()
     strongest: float = 1.5
     spread: float = 0.5
     bias: float = -4.0
@@ -80,18 +94,24 @@ def signals(text: str, automaton: ahocorasick.Automaton | None) -> tuple[float,
     """The largest weight, and the sum of weights over the root of the number of hundred characters. Of the terms that match at one place, the heaviest counts."""
     if automaton is None:
         return 0.0, 0.0
-    folded = fold(text)
     at: dict[int, float] = {}
     harmless = []
-    for end, (length, weight) in automaton.iter(folded):
-        start = end - length + 1
-        if weight is None:
-            harmless.append((start, end))
-        elif weight > at.get(start, 0.0):
-            at[start] = weight
-    for a, b in harmless:
-        for start in [s for s in at if a <= s < b]:
-            del at[start]
+    for folded in (fold(text),) if text.isascii() else (fold(text), fold(text, plain=True)):
+        for end, (length, weight) in automaton.iter(folded):
+            start = end - length + 1
+            if weight is None:
+                harmless.append((start, end))
+            elif weight > at.get(start, 0.0):
+                at[start] = weight
+    if harmless:  # both in order of their starts: one pass
+        harmless.sort()
+        k, reach, kept = 0, -1, {}
+        for start in sorted(at):
+            while k < len(harmless) and harmless[k][0] <= start:
+                reach, k = max(reach, harmless[k][1]), k + 1
+            if start >= reach:
+                kept[start] = at[start]
+        at = kept
     if not at:
         return 0.0, 0.0
     return max(at.values()), sum(at.values()) / math.sqrt(1.0 + len(text) / 100)
@@ -177,20 +197,61 @@ def _choose(weights: dict[str, float]) -> dict[str, float]:
     for term, weight in sorted(weights.items(), key=lambda x: (len(x[0]), x[0])):
         if not any(chosen.get(term[:k], 0.0) >= weight - 0.7 for k in range(SHORT + 1, len(term))):
             chosen[term] = weight
-    return dict(sorted(chosen.items(), key=lambda x: (-x[1], x[0]))[:TERMS])
+    return dict(sorted(chosen.items(), key=lambda x: (-x[1], x[0])))
 
 
-def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
-    """A lexicon from labelled rows. labels: key and label (1 toxic, 0 not)."""
+def _pairs(rows: DataFrame, terms: dict[str, float]) -> DataFrame:
+    """(phrase, a, b): pairs of neighbouring words of which one matches a term, with the toxic and the other documents that hold them."""
+    types = {"phrase": pa.string(), "label": pa.int32(), "n": pa.int64()}
+    lexicon = Lexicon(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = lexicon.automaton()
+        for batch in batches:
+            for a in range(0, batch.num_rows, COUNTED):
+                part, n = batch.slice(a, COUNTED), Counter()
+                for label, x in zip(part.column("label").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    folded = fold(x)
+                    starts = {end - length + 1 for end, (length, _) in automaton.iter(folded)}
+                    found = set()
+                    for start in starts:
+                        before, end = folded.rfind(" ", 0, start), folded.find(" ", start + 1)
+                        behind = folded.find(" ", end + 1)
+                        if before >= 0:
+                            found.add(folded[before : end + 1])
+                        if behind >= 0:
+                            found.add(folded[start : behind + 1])
+                    n.update((phrase, label) for phrase in found)
+                yield arrays(types, {"phrase": [k[0] for k in n], "label": [k[1] for k in n], "n": list(n.values())})
+
+    found = rows.select("label", "text").mapInArrow(run, "phrase string, label int, n long")
+    cell = lambda label: F.sum(F.when(F.col("label") == label, F.col("n")).otherwise(0))
+    return found.groupBy("phrase").agg(cell(1).alias("a"), cell(0).alias("b"))
+
+
+def learned_exceptions(rows: DataFrame, terms: dict[str, float], toxic: int, clean: int) -> tuple[str, ...]:
+    """Phrases around a term that clean documents hold beyond chance: their log likelihood ratio against the share of clean documents passes the test of all such phrases. Counted in Spark; only those that pass reach the driver."""
+    if not terms or not toxic or not clean:
+        return ()
+    prior, counted = clean / (toxic + clean), written(_pairs(rows, terms))
+    need = math.log(max(2, counted.count())) + 2
+    rate = F.col("b") / (F.col("a") + F.col("b"))
+    ratio = F.col("b") * F.log(rate / prior) + F.when(F.col("a") > 0, F.col("a") * F.log((1 - rate) / (1 - prior))).otherwise(0.0)
+    return tuple(sorted(r["phrase"] for r in counted.filter("b > 0").filter((rate > prior) & (ratio >= need)).select("phrase").collect()))
+
+
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, exceptions: tuple[str, ...] = ()) -> Lexicon:
+    """A lexicon from labelled rows. labels: key and label (1 toxic, 0 not). exceptions: phrases to add to the learned ones."""
     rows = training_rows(docs, labels, key, text, label, sample)
     n_rows = {(r["fit"], r["label"]): r["n"] for r in rows.groupBy((F.col("part") == 4).alias("fit"), "label").agg(F.count("*").alias("n")).collect()}
     table = _counts(rows)
     fit, rest = (lambda y: n_rows.get((True, y), 0)), (lambda y: n_rows.get((False, y), 0))
     trial = Lexicon(_choose(_beyond_chance(table, "a", "b", rest(1), rest(0))), exceptions)
     final = Lexicon(_choose(_beyond_chance(table, "a + c", "b + d", rest(1) + fit(1), rest(0) + fit(0))), exceptions)
+    trial.exceptions = (*exceptions, *learned_exceptions(rows.filter("part <> 4"), trial.terms, rest(1), rest(0)))
+    final.exceptions = (*exceptions, *learned_exceptions(rows, final.terms, rest(1) + fit(1), rest(0) + fit(0)))
     if fit(1) >= 5 and fit(0) >= 5:
-        automaton = trial.automaton()
-        points = np.array([(*signals(r["text"], automaton), r["label"]) for r in rows.filter("part = 4").select("text", "label").toLocalIterator()])
+        points = _points(rows.filter("part = 4"), trial)
         final.bias, final.strongest, final.spread = _logistic(points[:, :2], points[:, 2])
     elif not final.terms and (n := sum(n_rows.values())):
         share = min(max((rest(1) + fit(1)) / n, 1e-3), 1 - 1e-3)
@@ -198,6 +259,20 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return final
 
 
+def _points(rows: DataFrame, lexicon: Lexicon) -> np.ndarray:
+    """The two signals and the label of each row; texts stay with the tasks."""
+    types = {"x": pa.float64(), "y": pa.float64(), "label": pa.float64()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = lexicon.automaton()
+        for batch in batches:
+            found = [signals(x, automaton) for x in batch.column("text").to_pylist()]
+            yield arrays(types, {"x": [p[0] for p in found], "y": [p[1] for p in found], "label": [float(n) for n in batch.column("label").to_pylist()]})
+
+    found = rows.select("label", "text").mapInArrow(run, "x double, y double, label double").collect()  # three numbers for each row of the bounded sample
+    return np.array(sorted(tuple(r) for r in found))
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, strength: float = 0.01) -> tuple[float, float, float]:
     """Bias and two coefficients that aren't negative, by Newton steps with a small penalty."""
     for use in ((0, 1), (0,), ()):

@@ -7,6 +7,7 @@ import io
 import itertools
 import json
 import random
+import time
 import zlib
 
 import pytest
@@ -253,7 +254,7 @@ def test_folding():
 
 
 def test_matching_exceptions_and_length():
-    lex = toxicity.Lexicon({" trash": 5.0, " scum ": 6.0})
+    lex = toxicity.Lexicon({" trash": 5.0, " scum ": 6.0}, ("trash can", "pond scum"))
     a = lex.automaton()
     assert toxicity.signals("what tr4sh!", a)[0] == 5.0 and toxicity.signals("scum.", a)[0] == 6.0
     assert toxicity.signals("scummy retrash", a) == (0.0, 0.0) and toxicity.signals("a trash can", a) == (0.0, 0.0)
@@ -300,6 +301,55 @@ def test_floor_of_terms():
     assert toxicity._floor(held, 2, 0.5)[0] == 3 and toxicity._floor({}, 5, 0.01)[0] == 1
 
 
+def naive_signals(text, lexicon):
+    """Without automaton: every term at every place."""
+    folded, at = toxicity.fold(text), {}
+    for term, weight in lexicon.terms.items():
+        for k in range(len(folded)):
+            if folded.startswith(term, k) and weight > at.get(k, 0.0):
+                at[k] = weight
+    spans = [(k, k + len(f) - 1) for e in lexicon.exceptions for f in [toxicity.fold(e)] for k in range(len(folded)) if folded.startswith(f, k)]
+    at = {k: w for k, w in at.items() if not any(a <= k < b for a, b in spans)}
+    return (max(at.values()), sum(at.values()) / (1 + len(text) / 100) ** 0.5) if at else (0.0, 0.0)
+
+
+def test_signals_against_brute_force():
+    r = random.Random(2)
+    lexicon = toxicity.Lexicon({" ab": 1.0, " abc": 2.0, " b ": 0.5, " ca": 1.5}, ("abc b", "b ca", "ab ab"))
+    automaton = lexicon.automaton()
+    for _ in range(600):
+        text = "".join(r.choice("abc  ,.") for _ in range(r.randint(0, 40)))
+        assert toxicity.signals(text, automaton) == pytest.approx(naive_signals(text, lexicon))
+    start = time.perf_counter()
+    toxicity.signals("abc b " * 40_000, automaton)
+    assert time.perf_counter() - start < 5
+
+
+def test_folding():
+    assert toxicity.fold("\u00efd\u00ed\u00f3t \U0001d4ea\U0001d4eb\U0001d4ec", plain=True) == " idiot abc "
+    assert toxicity.fold("R\u00c9 i\u0336d") == " r\u00e9 id "
+    assert toxicity.fold("1d10t i-d-i-o-t f o o l, a b") == " idiot idiot fool a b "
+    assert toxicity.fold("") == "  " or toxicity.fold("").strip() == ""
+
+
+def test_exceptions_are_learned(spark):
+    """Trash is toxic, but not beside can."""
+    r, rows = random.Random(6), []
+    words = ["".join(r.choice("bdfglmnprstv") + r.choice("aeiou") for _ in range(3)) for _ in range(300)]
+    for k in range(1500):
+        text = [r.choice(words) for _ in range(12)]
+        if k % 5 == 0:
+            text[3:4] = [r.choice(["trashy", "morons"])]
+        elif k % 5 == 1:
+            text[3:4] = ["trashy", "bins"]
+        rows.append((k, " ".join(text), int(k % 5 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    lexicon = toxicity.learn(df, df)
+    assert " trashy bins " in lexicon.exceptions
+    got = {r["doc_id"]: r["toxicity"] for r in toxicity.score(spark.createDataFrame([(1, "x trashy bins y"), (2, "you trashy thing"), (3, "m\u00f6r0ns all")], "doc_id long, text string"), lexicon).collect()}
+    assert got[1] < 0.5 < got[2] and got[3] > 0.5
+
+
 def test_toxicity_odd(spark, odd, none):
     empty = spark.createDataFrame([], "doc_id long, toxic int")
     lex = toxicity.learn(odd, empty)
