@@ -1,4 +1,9 @@
-"""A training corpus from the documents table: each stage takes the rows that the one before kept."""
+"""A training corpus from the documents table: each stage takes the rows that the one before kept.
+
+Null texts count as empty in every stage, null sources are a source of their own, and other columns are carried along. Rows
+are decided one by one: of equal texts the row with the largest id stays (a null id is the smallest; of repeated rows any
+one), in near dedup rows of a null id stay, and rows of one id share their fate. An empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
