@@ -36,7 +36,7 @@ from .shared import arrays, map_batches, text_of, written
 
 #: Labelled rows to train on, at most.
 SAMPLE = 30_000
-#: Rows whose terms are counted in Python before Spark adds them up.
+#: Rows that are in Python at once, and whose terms are counted there before Spark adds them up.
 COUNTED = 256
 #: Lengths of word beginnings that can be terms.
 SHORT, LONG = 4, 8
@@ -145,7 +145,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label
             marks.append(int(found[0] >> np.uint64(1)) if len(found) else 0)
         return arrays(types, {"mark": marks, "label": batch.column("label").to_pylist(), "text": batch.column("text").to_pylist()})
 
-    marked = map_batches(rows.select("label", "text"), mark, "mark long, label int, text string")
+    marked = map_batches(rows.select("label", "text"), mark, "mark long, label int, text string", COUNTED)
     return written(marked.dropDuplicates(["mark", "label"]).withColumn("part", F.pmod(F.xxhash64("mark"), F.lit(5))))
 
 
@@ -298,9 +298,11 @@ def score(docs: DataFrame, lexicon: Lexicon, text: str = "text", column: str = "
 
     def run(batches):
         automaton = lexicon.automaton()
-        for batch in batches:
-            new = pa.array([probability(lexicon, *signals(x or "", automaton)) for x in batch.column(text).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, new], names=[*batch.schema.names, column])
+        for whole in batches:
+            for a in range(0, whole.num_rows, COUNTED):
+                batch = whole.slice(a, COUNTED)
+                new = pa.array([probability(lexicon, *signals(x or "", automaton)) for x in batch.column(text).to_pylist()], pa.float64())
+                yield pa.RecordBatch.from_arrays([*batch.columns, new], names=[*batch.schema.names, column])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + [f"`{column}` double"])
     return kept.mapInArrow(run, schema)
