@@ -68,9 +68,7 @@ class Log:
         self._seq, self._rid = self._m.seq, self._m.next_rid
         self._buffer: list[tuple] = []
         self._deletes: list[tuple[int, int, int | None]] = list(self._m.deletes)
-        self._adaptive = adaptive.State()
-        for n, a, b in self._m.flushes:
-            self._adaptive = adaptive.observe(self._adaptive, self.config.adaptive, n, a, b)
+        self._adaptive = adaptive.State(*self._m.adaptive)
         self._wanted, self._working, self.closed = False, self.config.maintenance == "background", False
         if self._min_ts is not None:
             self.delete_before(self._min_ts)
@@ -188,13 +186,14 @@ class Log:
         if self._min_ts is not None:
             rows = rows.filter(F.when(F.col("ts") >= self._min_ts, True).otherwise(F.raise_error(F.lit("a timestamp lies before min_ts"))))
         seq, start = self._seq + 1, self._rid
-        numbered = rows.withColumns({"seq": F.lit(seq).cast("long"), "rid": F.monotonically_increasing_id() + start})
+        numbered = rows.sortWithinPartitions("ts").withColumns({"seq": F.lit(seq).cast("long"), "rid": F.monotonically_increasing_id() + start})
         columns = self.spark.createDataFrame([], self._schema).columns
         name = self._store.write(numbered.select(*columns), f"delta-{seq:012}")
         n, a, b, top = self.spark.read.parquet(f"{self.path}/{name}").agg(F.count("*"), F.min("ts"), F.max("ts"), F.max("rid")).head()
         if n:
             self._seq, self._rid = seq, top + 1
-            self._commit(deltas=(*self._m.deltas, name), flushes=(*self._m.flushes, (n, a, b))[-64:])
+            self._adaptive = adaptive.observe(self._adaptive, self.config.adaptive, n, a, b)
+            self._commit(deltas=(*self._m.deltas, name))
 
     # Deletes
 
@@ -329,7 +328,8 @@ class Log:
     # Maintenance
 
     def _commit(self, **changes) -> None:
-        fields = {**self._m.__dict__, **changes, "version": self._m.version + 1, "seq": self._seq, "next_rid": self._rid}
+        state = self._adaptive
+        fields = {**self._m.__dict__, **changes, "version": self._m.version + 1, "seq": self._seq, "next_rid": self._rid, "adaptive": (state.density, state.flushes, state.updated, state.failures)}
         if "deletes" not in changes:
             fields["deletes"] = tuple(self._deletes)
         new = Manifest(**fields)
@@ -337,7 +337,7 @@ class Log:
         self._m = new
 
     def flush(self) -> None:
-        """Writes what waits in the buffer. Rows that deletes hide already are not written."""
+        """Writes what waits in the buffer, which is emptied once that is committed: if another writer was first, nothing is lost here or there. Rows that deletes hide already are written too; compaction drops and returns them."""
         self._check()
         if not self._buffer:
             if tuple(self._deletes) != self._m.deletes:
@@ -345,10 +345,14 @@ class Log:
             return
         rows = self.spark.createDataFrame(self._buffer, self._schema)
         name = self._store.write(rows.sortWithinPartitions("ts", "seq"), f"delta-{self._seq:012}")
-        stamps = [r[1] for r in self._buffer]
+        stamps, before = [r[1] for r in self._buffer], self._adaptive
+        self._adaptive = adaptive.observe(before, self.config.adaptive, len(stamps), min(stamps), max(stamps))
+        try:
+            self._commit(deltas=(*self._m.deltas, name))
+        except FileExistsError:
+            self._adaptive = before
+            raise
         self._buffer = []
-        self._adaptive = adaptive.observe(self._adaptive, self.config.adaptive, len(stamps), min(stamps), max(stamps))
-        self._commit(deltas=(*self._m.deltas, name), flushes=(*self._m.flushes, (len(stamps), min(stamps), max(stamps)))[-64:])
 
     def compact(self) -> None:
         """Asks for a compaction; maint_step does it."""
@@ -419,7 +423,7 @@ class Log:
         return {
             "storage": {"segments_l0": len(m.deltas), "segments_l1": len(m.windows), "records_estimate": f["visible_rows"], "raw_records": f["rows"], "min_ts": f["raw_min_ts"], "max_ts": f["raw_max_ts"], "tombstones": f["deletes"], "manifest": m.version},
             "memtable": {"active_records": len(self._buffer), "ooo_records": sum(a[1] > b[1] for a, b in itertools.pairwise(self._buffer)), "sealed_runs": 0},
-            "operational": {"op_seq": self._seq, "flushes_total": len(m.flushes), "maintenance": self._working},
+            "operational": {"op_seq": self._seq, "flushes_total": self._adaptive.flushes, "maintenance": self._working},
             "compaction_selection": {"wanted": self._wanted, "delta_limit": self.config.max_delta_segments, "max_inputs": self.config.compaction_max_inputs},
             "adaptive": {"window": self.window(), "density": self._adaptive.density or 0.0, "flushes": self._adaptive.flushes, "failures": self._adaptive.failures},
         }
@@ -446,10 +450,11 @@ class Snapshot:
         rows = log._store.read(Manifest(deltas=m.deltas)) if m.deltas or not m.windows else None
         table = log._store.read_windows(m)
         if table is not None:
-            if m.window and t1 is not None and t1 > LEAST and not log.config.window_origin:
-                table = table.filter(F.col("window_id") >= t1 // m.window)
-            if m.window and t2 is not None and not log.config.window_origin:
-                table = table.filter(F.col("window_id") <= t2 // m.window)
+            origin = log.config.window_origin
+            if m.window and t1 is not None and t1 > LEAST:
+                table = table.filter(F.col("window_id") >= max(LEAST, (t1 - origin) // m.window))
+            if m.window and t2 is not None:
+                table = table.filter(F.col("window_id") <= min(MOST, (t2 - origin) // m.window))
             table = table.drop("window_id")
             rows = table if rows is None else rows.unionByName(table)
         if self._buffer:

@@ -20,6 +20,8 @@ from ..functions.scalar import LEAST, MOST, floor_div
 FEW = 32
 #: Buckets across the rows' range: so many for each delete, within bounds.
 PER_DELETE, FEWEST, MOST_BUCKETS = 4, 64, 1 << 16
+#: Levels of dyadic ranges: enough for MOST_BUCKETS and one more.
+LEVELS = 17
 
 
 def as_of(rows: DataFrame, snapshot: int | None) -> DataFrame:
@@ -52,14 +54,38 @@ def by_range_join(rows: DataFrame, deletes: DataFrame, how: str = "left_anti") -
     return rows.join(d, (F.col("ts") >= F.col("__t1")) & (F.col("__t2").isNull() | (F.col("ts") < F.col("__t2"))) & (F.col("__seq") > F.col("seq")), how)
 
 
+def _nodes(a: Column, b: Column) -> Column:
+    """The dyadic ranges (level, index) that make up buckets a to b, at most two a level."""
+    node = lambda level, index: F.array(F.struct(level.cast("int").alias("level"), index.alias("index")))
+    none = F.array().cast("array<struct<level:int,index:bigint>>")
+
+    def step(s: Column, level: Column) -> Column:
+        going = s["l"] < s["r"]
+        left, right = going & (s["l"] % 2 == 1), going & (s["r"] % 2 == 1)
+        found = F.concat(s["nodes"], F.when(left, node(level, s["l"])).otherwise(none), F.when(right, node(level, s["r"] - 1)).otherwise(none))
+        up = lambda x: F.shiftright(x, 1)
+        return F.struct(up(s["l"] + F.when(left, 1).otherwise(0)).alias("l"), up(s["r"] - F.when(right, 1).otherwise(0)).alias("r"), found.alias("nodes"))
+
+    start = F.struct(a.alias("l"), (b + 1).alias("r"), none.alias("nodes"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS)), start, step, lambda s: s["nodes"])
+
+
 def pieces(deletes: DataFrame, width: int, least: int, most: int) -> DataFrame:
-    """(bucket, first, last, seq): deletes cut at bucket bounds between least and most, both ends included. Of deletes that cover a whole bucket only the latest stays."""
+    """(bucket, first, last, seq): deletes cut at bucket bounds between least and most, both ends included. Of deletes that cover a whole bucket only the latest stays: they are counted by dyadic ranges of buckets, so a delete over any number of buckets is a few rows, and those go down to the buckets, whose number is bounded."""
     ends = deletes.filter(F.col("t2").isNull() | (F.col("t1") < F.col("t2"))).select(
         F.greatest("t1", F.lit(least)).alias("first"), F.least(F.when(F.col("t2").isNull(), F.lit(MOST)).otherwise(F.col("t2") - 1), F.lit(most)).alias("last"), "seq"
     )
-    cut = ends.filter("first <= last").withColumns({"lo": floor_div("first", width), "hi": floor_div("last", width)}).withColumn("bucket", F.explode(F.sequence("lo", "hi")))
-    part = cut.withColumns({"first": F.when(F.col("bucket") == F.col("lo"), F.col("first")), "last": F.when(F.col("bucket") == F.col("hi"), F.col("last"))})
-    return part.groupBy("bucket", "first", "last").agg(F.max("seq").alias("seq"))
+    base, top = least // width, most // width
+    cut = ends.filter("first <= last").withColumns({"lo": floor_div("first", width), "hi": floor_div("last", width)})
+    none = F.lit(None).cast("long")
+    piece = lambda bucket, first, last: F.struct(bucket.alias("bucket"), first.alias("first"), last.alias("last"))
+    edges = F.when(F.col("lo") == F.col("hi"), F.array(piece(F.col("lo"), F.col("first"), F.col("last")))).otherwise(F.array(piece(F.col("lo"), F.col("first"), none), piece(F.col("hi"), none, F.col("last"))))
+    parts = cut.select(F.explode(edges).alias("p"), "seq").select("p.*", "seq")
+    long = cut.filter("hi - lo >= 2").select(F.explode(_nodes(F.col("lo") + 1 - base, F.col("hi") - 1 - base)).alias("node"), "seq").groupBy("node").agg(F.max("seq").alias("seq"))
+    grid = deletes.sparkSession.range(top - base + 1).select((F.col("id") + base).alias("bucket"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda k: F.struct(k.alias("level"), F.expr("id").alias("index")))).alias("n"))
+    grid = grid.select("bucket", F.struct(F.col("n.level").alias("level"), F.expr("shiftright(n.index, n.level)").alias("index")).alias("node"))
+    whole = grid.join(long, "node").groupBy("bucket").agg(F.max("seq").alias("seq")).select("bucket", none.alias("first"), none.alias("last"), "seq")
+    return parts.unionByName(whole).groupBy("bucket", "first", "last").agg(F.max("seq").alias("seq"))
 
 
 def by_buckets(rows: DataFrame, deletes: DataFrame, width: int, least: int, most: int, how: str = "left_anti") -> DataFrame:

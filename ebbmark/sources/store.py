@@ -8,10 +8,16 @@ from __future__ import annotations
 
 import json
 import re
-from dataclasses import asdict, dataclass, field
+import time
+import uuid
+from dataclasses import asdict, dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
+#: Milliseconds after which a claim whose writer wrote no manifest is void.
+STALE = 120_000
+
 
 @dataclass(frozen=True)
 class Manifest:
@@ -22,7 +28,7 @@ class Manifest:
     windows: tuple[str, ...] = ()  # folders of compacted rows, partitioned by window_id
     deletes: tuple[tuple[int, int, int | None], ...] = ()  # (seq, t1, t2) that compaction has not used up
     window: int = 0  # of the grid that the compacted rows are in; fixed by the first compaction
-    flushes: tuple[tuple[int, int, int], ...] = field(default=())  # rows, least and most of the latest flushes
+    adaptive: tuple[float | None, int, int, int] = (None, 0, 0, 0)  # density, flushes, the last one that updated it, failures
 
 
 class Store:
@@ -46,16 +52,30 @@ class Store:
         return Manifest(**{k: tuple(tuple(x) if isinstance(x, list) else x for x in v) if isinstance(v, list) else v for k, v in raw.items()})
 
     def commit(self, manifest: Manifest) -> None:
-        """Refuses a number that another writer took: rename doesn't replace."""
-        final, new = (self._path(f"{self.path}/manifests/{name}") for name in (f"{manifest.version:012}.json", f".{manifest.version}.new"))
-        out = self._fs.create(new, True)
+        """Refuses a number that another writer took. A writer claims the number by creating a file, which only one can; a claim without a manifest is void after STALE milliseconds. The manifest then appears whole, by a rename."""
+        folder, number = f"{self.path}/manifests", f"{manifest.version:012}"
+        final, claim, new = (self._path(f"{folder}/{name}") for name in (f"{number}.json", f"{number}.claim", f".{number}.{uuid.uuid4().hex}"))
+        if self._fs.exists(claim) and not self._fs.exists(final) and time.time() * 1000 - self._fs.getFileStatus(claim).getModificationTime() > STALE:
+            self._fs.delete(claim, False)
+        if self._fs.exists(final) or not self._claimed(claim):
+            raise FileExistsError(f"manifest {manifest.version} was written by someone else")
+        out = self._fs.create(new, False)
         out.write(bytearray(json.dumps(asdict(manifest)).encode()))
         out.close()
-        if self._fs.exists(final) or not self._fs.rename(new, final):
+        if not self._fs.rename(new, final):
             raise FileExistsError(f"manifest {manifest.version} was written by someone else")
+        self._fs.delete(claim, False)
+
+    def _claimed(self, claim) -> bool:
+        try:
+            return self._fs.createNewFile(claim)
+        except Py4JJavaError:  # some file systems raise where others say no
+            return False
 
     def write(self, rows: DataFrame, name: str, by: str | None = None) -> str:
-        writer = rows.write.mode("overwrite")
+        """Writes a folder that no other writer can have: its name ends in a number of its own. What was committed is never overwritten."""
+        name = f"{name}-{uuid.uuid4().hex[:16]}"
+        writer = rows.write.mode("errorifexists")
         (writer.partitionBy(by) if by else writer).parquet(f"{self.path}/{name}")
         return name
 

@@ -53,6 +53,37 @@ def test_same_answers_in_every_state(spark, tmp_path):
     assert len(log) == 6
 
 
+def test_a_second_writer_loses_nothing(spark, tmp_path):
+    a, b = (Log(spark, f"file://{tmp_path}/log", maintenance="disabled") for _ in range(2))
+    a.append(1, 100)
+    b.append(2, 200)
+    a.flush()
+    with pytest.raises(FileExistsError):
+        b.flush()
+    assert list(Log(spark, f"file://{tmp_path}/log", maintenance="disabled")) == [(1, 100)] and list(b) == [(2, 200)]
+
+
+def test_flushes_are_counted_over_reopening(spark, tmp_path):
+    options = dict(maintenance="disabled", adaptive={"target_records": 10, "alpha": 0.5})
+    log = Log(spark, f"file://{tmp_path}/log", **options)
+    for k in range(3):
+        log.extend([(10 * k, 1), (10 * k + k + 1, 2)], insert_on_error=False)
+        log.flush()
+    log.append_frame(spark.createDataFrame([(50, "3"), (70, "4")], "ts long, payload string"))
+    again = Log(spark, f"file://{tmp_path}/log", **options)
+    assert again.stats()["operational"]["flushes_total"] == 4 and again.window() == log.window()
+
+
+def test_pruning_with_an_origin(spark, tmp_path):
+    log = Log(spark, f"file://{tmp_path}/log", maintenance="disabled", window_size=10, window_origin=3)
+    log.extend([(t, t) for t in range(-30, 60)], insert_on_error=False)
+    log.compact_now()
+    for a, b in ((-12, 7), (3, 13), (0, 59), (12, 14)):
+        assert [t for t, _ in log[a:b]] == list(range(a, b))
+    plan = log.frame(12, 14)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(window_id" in plan
+
+
 def test_compaction_with_a_cap_keeps_deletes(spark, tmp_path):
     log = Log(spark, f"file://{tmp_path}/log", maintenance="disabled", compaction_max_inputs=1, window_size=10)
     for t in (1, 2, 3):

@@ -113,3 +113,12 @@ def test_bad_and_empty_ranges(spark):
     with pytest.raises(ValueError):
         retention.delete_rows(spark, [(5, 4, 1)])
     assert retention.delete_rows(spark, [(5, 5, 1)]).count() == 0
+
+
+def test_prefix_deletes_make_few_pieces(spark):
+    """Pieces grow with the deletes, not with the buckets that each covers."""
+    from ebbmark.operators.visibility import pieces
+
+    for n in (50, 200, 400):
+        deletes = spark.createDataFrame([(k, -(2**63), 1000 * k + 500) for k in range(n)], "seq long, t1 long, t2 long")
+        assert pieces(deletes, 250, 0, 1000 * n).count() <= 4 * n + 2 * n + 2
