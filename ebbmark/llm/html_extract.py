@@ -1,13 +1,17 @@
 """Main text of web pages by paths that the pages of a host agree on.
 
 A page is read as blocks: runs of text between block tags, each with the path of its containers (tags with their
-classes, digits taken out). Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments are left out by tag, role, and class or id words. Each container of a page is scored by the text of its blocks
+classes, digits taken out). Menus, headers, footers, forms, scripts, styles and the like are left out by tag and role. A class
+or id that says nothing but sidebar, notice, advert or comment leaves its container out too. One that has such a word beside
+others only puts it under suspicion: it is left out unless it holds most of the text without links (of the article or main
+element's, where the page has one), as the wrappers do that themes name after what stands in or beside them. Elements
+deeper than DEEPEST count as part of the one at that depth. Each container of a page is scored by the text of its blocks
 without links; the best one is widened to hold what lies beside it and has much text with few links, unless it is in an
 article or main element. Its path is the page's vote, and votes are summed by host in Spark. In a second pass each page is
 extracted by the path among its host's winners that it holds, or else by its own best path.
 
-Null html counts as empty; a page without text has an empty text. Null urls form one host. Votes are pre-aggregated, so a
+Null html counts as empty; a page without text has an empty text. Repeated rows give equal texts; pages are read whole, in
+time linear in their length. Null urls form one host. Votes are pre-aggregated, so a
 host of any size is only a few rows.
 """
 
@@ -15,6 +19,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -27,6 +32,10 @@ from .shared import arrays, map_batches, text_of, written
 SHARE = 0.2
 #: Text beside a container belongs to it from this share of the container's text, or from so many characters.
 BESIDE, BESIDE_CHARACTERS = 0.1, 140
+#: A container under suspicion stays if it holds this share of the text without links.
+MOSTLY = 0.5
+#: Nesting up to which elements are told apart.
+DEEPEST = 200
 #: Winning paths are broadcast up to so many characters in all; beyond, they are joined.
 MOST_BROADCAST = 4 << 20
 
@@ -39,6 +48,8 @@ LEFT_OUT = frozenset("aside audio button canvas datalist dialog embed fieldset f
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "tbody", "thead"}, "tfoot": {"tr", "td", "th", "tbody", "thead"}, "thead": {"caption"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "tbody": {"table"}, "tfoot": {"table"}, "thead": {"table"}}
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar toolbar dialog alert alertdialog form".split())
+
+#: Words in classes and ids that put a container under suspicion: a choice.
 UNWANTED = frozenset("ad ads advert adverts advertisement advertising adsense adslot banner breadcrumb breadcrumbs comment comments commentlist respond disqus consent cookie cookies gdpr footer foot header masthead menu menus nav navbar navigation newsletter notice notices alert popup modal overlay promo promoted promotion recommended related sidebar share sharing social sponsor sponsored sponsors subscribe subscription signup login toolbar widget widgets pagination pager skip disclaimer".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
@@ -52,6 +63,8 @@ class Block:
     path: tuple[str, ...]
     text: str
     linked: int
+    doubts: tuple[int, ...] = ()  # numbers of the containers under suspicion around it
+    article: bool = False  # whether it is in an article or main element
 
 
 def unescaped(text: str) -> str:
@@ -68,7 +81,7 @@ def _attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(source)} if source and "=" in source or "hidden" in source else {}
 
 
-def _unwanted(tag: str, attributes: dict[str, str], inside_article: bool) -> bool:
+def _left_out(tag: str, attributes: dict[str, str], inside_article: bool) -> bool:
     if tag in LEFT_OUT or (tag == "header" and not inside_article):
         return True
     if not attributes or tag in ("html", "body", "article", "main"):
@@ -77,22 +90,35 @@ def _unwanted(tag: str, attributes: dict[str, str], inside_article: bool) -> boo
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "")):
         return True
-    words = {w.lower() for name in ("class", "id") for w in _PARTS.split(attributes.get(name, ""))}
-    return not UNWANTED.isdisjoint(words)
+    return any(words and words <= UNWANTED for words in _names(attributes))
+
+
+def _names(attributes: dict[str, str]) -> list[set[str]]:
+    """The words of each class and of the id."""
+    return [{w.lower() for w in _PARTS.split(name) if w} for source in ("class", "id") for name in attributes.get(source, "").split()]
+
+
+def _doubtful(tag: str, attributes: dict[str, str]) -> bool:
+    if not attributes or tag in ("html", "body", "article", "main"):
+        return False
+    return any(not words.isdisjoint(UNWANTED) for words in _names(attributes))
 
 
 def _name(tag: str, attributes: dict[str, str]) -> str:
     classes = sorted({_DIGITS.sub("", c) for c in attributes.get("class", "").split()} - {""})
-    return ".".join([tag, *classes[:4]])
+    return ".".join([tag, *classes])
 
 
 def blocks(source: str, rough: bool = False) -> list[Block]:
     """The wanted text of a page in order. rough: as it stands, for its length alone."""
     out: list[Block] = []
-    stack: list[tuple[str, str | None]] = []  # tag; its name in the path if it is a container
+    # Tag; its name in the path if it is a container; whether it is an article or main element; its number if it is under suspicion.
+    stack: list[tuple[str, str | None, bool, int | None]] = []
     path: tuple[str, ...] = ()
+    doubts: tuple[int, ...] = ()
     words: list[str] = []
-    dropped, links, linked, at = 0, 0, 0, 0  # open elements above which all is left out; open links; characters in links
+    open_: Counter[str] = Counter()  # open elements by tag
+    dropped, links, linked, at, articles, number, deeper = 0, 0, 0, 0, 0, 0, 0  # open elements above which all is left out; open links; characters in links; ..; elements below DEEPEST
 
     def flush() -> None:
         nonlocal linked
@@ -100,7 +126,7 @@ def blocks(source: str, rough: bool = False) -> list[Block]:
             text = "".join(words)
             text = text.strip() if rough else " ".join(text.split())
             if text:
-                out.append(Block(path, text, linked))
+                out.append(Block(path, text, linked, doubts, articles > 0))
             words.clear()
         linked = 0
 
@@ -113,19 +139,24 @@ def blocks(source: str, rough: bool = False) -> list[Block]:
                 linked += len(text)
 
     def close(depth: int) -> None:
-        nonlocal path, dropped, links
-        for tag, name in reversed(stack[depth:]):
+        nonlocal path, dropped, links, articles, doubts
+        for tag, name, article, doubt in reversed(stack[depth:]):
             if tag in BLOCK and not dropped:
                 flush()
             if name is not None:
                 path = path[:-1]
-            if tag == "a":
-                links -= 1
+            if doubt is not None:
+                doubts = doubts[:-1]
+            links -= tag == "a"
+            articles -= article
+            open_[tag] -= 1
         del stack[depth:]
         if dropped and len(stack) < dropped:
             dropped = 0
 
     def open_at(tags: set[str], scope: set[str]) -> int | None:
+        if not any(open_[t] for t in tags):
+            return None
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] in tags:
                 return k
@@ -142,6 +173,11 @@ def blocks(source: str, rough: bool = False) -> list[Block]:
                 say(html.escape(m[0][9:].removesuffix("]]>")))
             continue
         if m[1] or m[4]:
+            if deeper and tag in CONTAINER:  # closes an element that wasn't told apart
+                deeper -= 1
+                if not dropped:
+                    flush()
+                continue
             k = open_at({tag}, {"table", "td", "th"} if tag not in ("table", "td", "th", "tr", "tbody", "thead", "tfoot", "body", "html") else set())
             if k is not None:
                 close(k)
@@ -167,19 +203,50 @@ def blocks(source: str, rough: bool = False) -> list[Block]:
         if tag in BLOCK and not dropped:
             flush()
         attributes = _attributes(m[3] or m[6] or "")
-        inside = any(t in ("article", "main") for t, _ in stack)
+        left_out = not dropped and _left_out(tag, attributes, articles > 0)
+        if len(stack) >= DEEPEST and not left_out:
+            deeper += tag in CONTAINER
+            continue
         name = _name(tag, attributes) if tag in CONTAINER and not dropped else None
-        stack.append((tag, name))
+        doubt = None
+        if not dropped and not left_out and _doubtful(tag, attributes):
+            doubt = number = number + 1
+            doubts = (*doubts, doubt)
+        article = tag in ("article", "main")
+        stack.append((tag, name, article, doubt))
+        open_[tag] += 1
         if name is not None:
             path = (*path, name)
-        if tag == "a":
-            links += 1
-        if not dropped and _unwanted(tag, attributes, inside):
+        links += tag == "a"
+        articles += article
+        if left_out:
             dropped = len(stack)
     say(source[at:])
     if not dropped:
         flush()
-    return out
+    return _cleared(out)
+
+
+def _worth(b: Block) -> float:
+    return max(0.0, len(b.text) - 2.0 * b.linked)
+
+
+def _cleared(found: list[Block]) -> list[Block]:
+    """Without the blocks of containers under suspicion that hold less than MOSTLY of the text around them. From the outside in: what one holds is weighed against what its container keeps."""
+    if not any(b.doubts for b in found):
+        return found
+    held: Counter[tuple[int, ...]] = Counter()
+    article = any(b.article and _worth(b) for b in found)
+    for b in found:
+        if article and not b.article:
+            held[b.doubts] += 0
+            continue
+        for k in range(len(b.doubts) + 1):
+            held[b.doubts[:k]] += _worth(b)
+    kept: dict[tuple[int, ...], bool] = {(): True}
+    for doubts in sorted({b.doubts[:k] for b in found for k in range(1, len(b.doubts) + 1)}, key=len):
+        kept[doubts] = kept[doubts[:-1]] and held[doubts] > MOSTLY * held[doubts[:-1]]
+    return [b for b in found if kept[b.doubts]]
 
 
 def best_path(found: list[Block]) -> tuple[str, float]:
@@ -188,15 +255,16 @@ def best_path(found: list[Block]) -> tuple[str, float]:
     total: dict[tuple[str, ...], float] = {}
     here: dict[tuple[str, ...], tuple[float, float]] = {}  # worth and length of the blocks right in a container
     for b in found:
-        worth = max(0.0, len(b.text) - 2.0 * b.linked) + 1
+        worth = _worth(b) + 1
         a, n = here.get(b.path, (0.0, 0.0))
         here[b.path] = a + worth, n + len(b.text)
+    for path, (worth, _) in here.items():  # each path once, whatever its number of blocks
         for back, part in enumerate((1.0, 0.5)):
-            if len(b.path) > back:
-                up = b.path[: len(b.path) - back]
+            if len(path) > back:
+                up = path[: len(path) - back]
                 direct[up] = direct.get(up, 0.0) + part * worth
-        for k in range(len(b.path) + 1):
-            total[b.path[:k]] = total.get(b.path[:k], 0.0) + worth
+        for k in range(len(path) + 1):
+            total[path[:k]] = total.get(path[:k], 0.0) + worth
     if not direct:
         return "", total.get((), 0.0)
     path = max(direct, key=lambda p: (direct[p], -len(p), p))
@@ -237,7 +305,7 @@ def text_at(found: list[Block], path: str) -> str:
 def main_text(source: str, winners: list[str]) -> str:
     """By the first winner that the page holds, else by its own best path."""
     found = blocks(source)
-    held = {b.path[:k] for b in found for k in range(len(b.path) + 1)}
+    held = {path[:k] for path in {b.path for b in found} for k in range(len(path) + 1)}
     for path in winners:
         if (tuple(path.split(">")) if path else ()) in held:
             return text_at(found, path)

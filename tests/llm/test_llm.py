@@ -403,6 +403,38 @@ def test_split_pages_stay_whole(spark, page, parts):
     assert {r["main_text"] for r in html_extract.extract(pages).collect()} == {want}
 
 
+WRAPPERS = ("content-sidebar-wrap", "main has-sidebar", "post no-comments", "entry share-enabled", "site-content with-header", "news-alert-story", "restaurant-menu")
+
+
+@pytest.mark.parametrize("name", WRAPPERS)
+def test_wrappers_that_themes_name_after_what_is_beside(name):
+    page = f"<body><nav><a href='/'>Home</a></nav><div class='{name}'><div class='x'>{P * 4}</div><div class='sidebar'><p>Side text of some length.</p></div></div><div class='comments'><p>I disagree!</p></div></body>"
+    assert html_extract.main_text(page, []) == "\n".join(["words of the text, " * 11 + "words of the text,"] * 4)
+
+
+def test_deep_pages_take_linear_time():
+    start = time.perf_counter()
+    for page in ("<div>" * 100_000 + "x", "<div>x" * 20_000, "<div class='a b'><span>" * 20_000 + "x", "<div>" * 300 + P + "</div>" * 300 + "<p>behind</p>"):
+        assert html_extract.main_text(page, [])
+    assert time.perf_counter() - start < 8
+    assert html_extract.main_text("<div>" * 300 + P + "</div>" * 300 + "<p>" + "behind it all, " * 20 + "</p>", []).endswith("behind it all,")
+
+
+def test_consensus_mends_single_pages(spark):
+    """Several hosts with templates of their own: on every fourth page a long teaser beats the article, and the host's other pages decide."""
+    r, rows, want = random.Random(8), [], {}
+    for h in range(6):
+        for k in range(16):
+            n, story = len(rows), " ".join(f"tale{r.randrange(999)}" for _ in range(30 if k % 4 == 0 else 90))
+            tease = " ".join(f"news{r.randrange(999)}" for _ in range(120 if k % 4 == 0 else 4))
+            rows.append((n, f"http://h{h}.org/{k}", f"<body><div class='t{'abcdef'[h]}'><p>{tease}</p></div><div class='s{'abcdef'[h]} no{k}'><p>{story}</p></div></body>"))
+            want[n] = story
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {x["page_id"]: x["main_text"] for x in html_extract.extract(pages).collect()}
+    alone = sum(html_extract.main_text(x, []) == want[n] for n, _, x in rows)
+    assert sum(got[n] == want[n] for n in want) > alone
+
+
 # Chats
 
 
