@@ -24,8 +24,8 @@ from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers
 
 from .shared import arrays, map_batches, text_of
 
-#: Bytes of the largest of a worker's caches, about; characters of the longest piece that is kept, and bytes that an entry has besides.
-CACHED, LONGEST, ENTRY = 96 << 20, 48, 160
+#: Bytes of the largest of a worker's caches, at most; characters of the longest piece that is kept, and bytes that an entry of so many takes at most.
+CACHED, LONGEST, ENTRY = 256 << 20, 24, 512
 
 _TWO_SPACES = re.compile(r" \s|\s ")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -41,19 +41,17 @@ def byte_table() -> dict[int, str]:
 
 
 class _Cache(dict):
-    """Values by key, computed where missing; long keys aren't kept, and a full cache is emptied."""
+    """Values by key, computed where missing; long keys aren't kept, and a full cache is emptied. limit: bytes."""
 
     def __init__(self, make: Callable[[str], bytes], limit: int):
         super().__init__()
-        self.make, self.limit, self.held = make, limit, 0
+        self.make, self.most = make, max(1, limit // ENTRY)
 
     def __missing__(self, key: str) -> bytes:
         value = self.make(key)
         if len(key) <= LONGEST:
-            self.held += len(key) + len(value) + ENTRY
-            if self.held > self.limit:
+            if len(self) >= self.most:
                 self.clear()
-                self.held = len(key) + len(value) + ENTRY
             self[key] = value
         return value
 

@@ -30,8 +30,8 @@ from .bpe import codec
 from .shared import arrays, map_batches, text_of
 
 LEAST = -(2**63)
-#: Characters of text in a shard, about; leading bits by which keys are counted at once.
-SHARD_BYTES, BIN_BITS = 32 << 20, 12
+#: Rows of a shard, about; leading bits by which keys are counted at once.
+SHARD_ROWS, BIN_BITS = 1 << 14, 12
 
 
 def filesystem(folder: str) -> tuple[fs.FileSystem, str]:
@@ -60,9 +60,9 @@ def take(folder: str, name: str) -> pa.Buffer:
         return file.read_buffer()
 
 
-def shard_count(docs: DataFrame, text: str, shard_bytes: int = SHARD_BYTES) -> int:
-    """Shards of about so many characters of text."""
-    return max(1, math.ceil((docs.agg(F.sum(F.length(text_of(text)))).head()[0] or 0) / shard_bytes))
+def shard_count(docs: DataFrame) -> int:
+    """Shards of about SHARD_ROWS rows: their number depends on the input alone."""
+    return max(1, math.ceil(docs.count() / SHARD_ROWS))
 
 
 def shard_bounds(docs: DataFrame, key: str, shards: int) -> list[int]:
@@ -93,7 +93,7 @@ def shard_bounds(docs: DataFrame, key: str, shards: int) -> list[int]:
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 0, shards: int | None = None) -> dict:
     """Encodes every document, writes the files, and returns the manifest. Only one count per shard comes to the driver."""
-    bounds = shard_bounds(docs, key, shards or shard_count(docs, text))
+    bounds = shard_bounds(docs, key, shards or shard_count(docs))
     wide = codec(tokenizer).size > 2**16
     kind = np.dtype("<u4" if wide else "<u2")
 

@@ -4,7 +4,7 @@ Pages are range-partitioned and sorted by page id; each task writes its records
 once their compressed size reaches a limit. Headers and digests are made anew from the payload, record ids from page id
 and digest, and dates are a parameter, so equal input gives equal files. Files are written under temporary names and
 renamed; the manifest, which lists them with their sizes and digests, comes last and commits the archive. Shards begin where
-exact counts of page ids put them, and their number follows from the size of the payloads, so neither depends on how the
+exact counts of page ids put them, and their number follows from the number of pages, so neither depends on how the
 input is partitioned.
 
 Of records with equal payloads of at least LEAST_SHARED bytes, the one with the largest page id is the response and the
@@ -112,7 +112,7 @@ def revisits(pages: DataFrame) -> DataFrame:
 
 def write_archive(pages: DataFrame, folder: str, page: str = "page_id", url: str = "url", source: str = "html", shards: int | None = None, roll: int = ROLL, date: str = DATE) -> dict:
     """Writes the files and the manifest, which is returned."""
-    bounds = shard_bounds(pages, page, shards or shard_count(pages, source))
+    bounds = shard_bounds(pages, page, shards or shard_count(pages))
     rows = pages.select(F.coalesce(F.col(page).cast("long"), F.lit(LEAST)).alias("page"), F.col(url).cast("string").alias("url"), text_of(source).cast("binary").alias("payload"))
     again = written(revisits(rows))
     again = F.broadcast(again) if again.count() <= MOST_BROADCAST else again
