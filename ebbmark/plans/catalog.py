@@ -348,9 +348,14 @@ def window_ids(spark, sf_dir):
     return physical.with_window(events_log(spark, sf_dir), WINDOW, ORIGIN).select("rid", "window_id")
 
 
-@query("SELECT k AS x, CAST(floor(k::DOUBLE / 7) AS BIGINT) AS q FROM range(-30, 31) r(k)")
+@query(
+    """SELECT x, CAST((x::HUGEINT - ((x::HUGEINT % 7 + 7) % 7)) // 7 AS BIGINT) AS q
+    FROM (SELECT k AS x FROM range(-30, 31) r(k) UNION ALL SELECT (-9223372036854775808)::BIGINT + k FROM range(0, 10) r(k) UNION ALL SELECT 9223372036854775807::BIGINT - k FROM range(0, 10) r(k))"""
+)
 def floor_division(spark, sf_dir):
-    return spark.range(-30, 31).select(F.col("id").alias("x"), floor_div("id", 7).alias("q"))
+    ends = spark.range(10)
+    x = spark.range(-30, 31).unionAll(ends.select(F.lit(LEAST) + F.col("id"))).unionAll(ends.select(F.lit(MOST) - F.col("id"))).toDF("x")
+    return x.select("x", floor_div("x", 7).alias("q"))
 
 
 @query(f"SELECT k AS window_id, k * {WINDOW} + {ORIGIN} AS start, (k + 1) * {WINDOW} + {ORIGIN} AS \"end\" FROM range(-5, 6) r(k)")
@@ -421,15 +426,21 @@ def compaction_check(spark, sf_dir):
     return physical.check_compaction(rows, physical.compacted(rows, d, WINDOW), physical.dropped(rows, d))
 
 
-@query("SELECT ts, rid FROM (SELECT 1::BIGINT AS ts, 1::BIGINT AS rid) WHERE false")
+@query(f"SELECT ts, rid FROM ({EVENTS}) WHERE rid % 97 = 0")
 def window_violations(spark, sf_dir):
+    """Every 97th row is put into the window behind its own: exactly those are found."""
     rows = physical.with_window(events_log(spark, sf_dir), WINDOW)
-    return physical.check_windows(rows, WINDOW).select("ts", "rid")
+    return physical.check_windows(rows.withColumn("window_id", F.col("window_id") + F.when(F.col("rid") % 97 == 0, 1).otherwise(0)), WINDOW).select("ts", "rid")
 
 
-@query("SELECT 1::BIGINT AS start WHERE false")
+@query(
+    f"""WITH d AS ({deletes_sql("orders", MANY + NESTED)}) SELECT t1 AS start FROM (SELECT *, lag(t2) OVER (ORDER BY t1) AS b, lag(seq) OVER (ORDER BY t1) AS h FROM d)
+    WHERE t1 >= t2 OR b > t1 OR (b = t1 AND h = seq)"""
+)
 def step_violations(spark, sf_dir):
-    return physical.check_steps(orders_steps(spark, sf_dir)).select("start")
+    """The raw deletes overlap, so they are no step function; their own steps, checked beside them, add nothing."""
+    raw = deletes(spark, orders_log(spark, sf_dir), MANY + NESTED).select(F.col("t1").alias("start"), F.col("t2").alias("end"), F.col("seq").alias("max_seq"))
+    return physical.check_steps(raw).select("start").unionAll(physical.check_steps(orders_steps(spark, sf_dir)).select("start"))
 
 
 # Analytics
@@ -591,10 +602,9 @@ def rolling_source(spark, sf_dir):
     return rolling(table(spark, sf_dir, "events").select("event_id", "value", micros("ts").alias("ts")), 3, "ts")
 
 
-@query("SELECT count(*) AS groups, sum(n)::BIGINT AS rows FROM (SELECT count(*) AS n FROM events GROUP BY user_id, event_type)")
+@query("""SELECT sha256('{"event_type":"' || event_type || '","user_id":' || user_id || '}') AS digest, count(*) AS n FROM events GROUP BY user_id, event_type""")
 def payload_digests(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").groupBy(scalar.payload_digest("user_id", "event_type").alias("digest")).agg(F.count("*").alias("n"))
-    return rows.agg(F.count("*").alias("groups"), F.sum("n").alias("rows"))
+    return table(spark, sf_dir, "events").groupBy(scalar.payload_digest("user_id", "event_type").alias("digest")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT k AS x, CASE WHEN k = 0 THEN NULL ELSE 9223372036854775807 - 1 + (1 - k) END AS total FROM range(0, 2) r(k)")
@@ -608,15 +618,21 @@ def window_usage(spark, sf_dir):
     return physical.with_window(events_log(spark, sf_dir), HOUR).agg((F.max("window_id") - F.min("window_id") + 1).alias("windows"), F.count_distinct("window_id").alias("used"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE f AS (
+        SELECT row_number() OVER (ORDER BY flush) AS i, n / (most - least + 1) AS d FROM (SELECT rid // 500 AS flush, count(*)::DOUBLE AS n, min(ts) AS least, max(ts) AS most FROM ({EVENTS}) GROUP BY 1)
+    ), r AS (SELECT i, d AS s FROM f WHERE i = 1 UNION ALL SELECT f.i, 0.3 * f.d + 0.7 * r.s FROM r JOIN f ON f.i = r.i + 1),
+    w AS (SELECT s, least(2000 / s, {30 * DAY}) AS wish FROM r ORDER BY i DESC LIMIT 1)
+    SELECT round(s * 1e12, 6) AS density, least((floor(wish + 0.5)::BIGINT + 30000000) // 60000000 * 60000000, {30 * DAY}) AS "window" FROM w"""
+)
 def adaptive_density(spark, sf_dir):
-    """Of a history of flushes of 500 rows: the smoothed density, and the window that it asks for."""
+    """Of a history of flushes of 500 rows: the smoothed density (for 10^12 microseconds), and the window that it asks for."""
     rows = events_log(spark, sf_dir).withColumn("flush", floor_div("rid", 500))
     history = rows.groupBy("flush").agg(F.count("*").alias("records"), F.min("ts").alias("least"), F.max("ts").alias("most"))
     density = adaptive.smoothed_density(history, 0.3).head()[0]
     config = adaptive.Adaptive(target_records=2000, alpha=0.3, window_quantum=60_000_000, max_window=30 * DAY)
     window = adaptive.next_window(adaptive.State(density, 20, 20), config, HOUR)
-    return spark.createDataFrame([(density, window)], "density double, window long")
+    return spark.createDataFrame([(round(density * 1e12, 6), window)], "density double, window long")
 
 
 @query()
@@ -627,17 +643,56 @@ def synthetic_orders(spark, sf_dir):
     return synthetic(spark, n, seed=42)
 
 
-@query("SELECT CAST(k AS BIGINT) AS batch, count(*) AS n FROM (SELECT event_id % 4 AS k FROM events) GROUP BY k")
+@query("SELECT event_id % 4 AS part, 1::BIGINT AS batches, count(*) AS n, sum(event_id)::BIGINT AS ids, min(epoch_us(ts)) AS least, max(epoch_us(ts)) AS largest FROM events GROUP BY 1")
 def streaming_ingest(spark, sf_dir):
-    """Micro-batches of events appended to a log; rows for each batch number of the log's files."""
-    import tempfile
+    """Micro-batches of events appended to a log, one for each of four parts: what each part's rows came to, and in how many batches."""
     import uuid
 
+    from ..sources.store import shared_root
     from ..streaming.ingest import PER_BATCH, ingest
 
-    root = f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp()).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
     for k in range(4):
         table(spark, sf_dir, "events").filter(F.col("event_id") % 4 == k).select(micros("ts").alias("ts"), "event_id").coalesce(1).write.parquet(f"{root}/source/part={k}")
     stream = spark.readStream.schema("ts long, event_id long, part int").option("maxFilesPerTrigger", 1).parquet(f"{root}/source")
     ingest(stream, f"{root}/log", f"{root}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{root}/log").groupBy(floor_div("seq", PER_BATCH).alias("batch")).agg(F.count("*").alias("n"))
+    rows = spark.read.parquet(f"{root}/log").withColumn("batch", floor_div("seq", PER_BATCH))
+    return rows.groupBy((F.col("event_id") % 4).alias("part")).agg(F.count_distinct("batch").alias("batches"), F.count("*").alias("n"), F.sum("event_id").alias("ids"), F.min("ts").alias("least"), F.max("ts").alias("largest"))
+
+
+#: Cutoffs, one a week, early and late ones in turn: each hides all that lies before it.
+PREFIXES = [(LEAST, DAYS_1992 + k * 7 * DAY, (k * 37 % 300) / 300) for k in range(300)]
+
+
+@query(with_log("SELECT ts, rid FROM v", ORDERS, PREFIXES))
+def visible_many_prefixes(spark, sf_dir):
+    rows = orders_log(spark, sf_dir)
+    return visible(rows, deletes(spark, rows, PREFIXES)).select("ts", "rid")
+
+
+@query(
+    f"""WITH e AS (SELECT 7 + rid % 3 AS seq, 10 * (rid % 90) AS ts, rid FROM ({EVENTS}) UNION ALL SELECT 1, 100, -1 UNION ALL SELECT 9, 105, -2)
+    SELECT ts, rid FROM e WHERE NOT ((ts < 500 AND seq < 8) OR (ts >= 100 AND ts < 200 AND seq < 9))"""
+)
+def log_lifecycle(spark, sf_dir):
+    """A real log on shared storage: appends, deletes, a flush, a compaction and reopening, then what it shows."""
+    import uuid
+
+    from ..log import Log
+    from ..sources.store import shared_root
+
+    log = Log(spark, f"{shared_root(spark)}/log-{uuid.uuid4().hex}", "rid2 BIGINT", time_unit="us", maintenance="disabled", window_size=70, window_origin=3)
+    rows = events_log(spark, sf_dir)
+    log.append(100, (-1,))
+    for k in range(3):  # calls 2, 4 and 6 stand for the sequence numbers 7, 8 and 9 of the SQL
+        log.append_frame(rows.filter(F.col("rid") % 3 == k).select((10 * (F.col("rid") % 90)).alias("ts"), F.col("rid").alias("rid2")))
+        if k == 0:
+            log.delete_before(500)
+        if k == 1:
+            log.delete_range(100, 200)
+            log.compact_now()
+    log.append(105, (-2,))
+    log.flush()
+    log.close()
+    log.reopen()
+    return log.frame().select("ts", F.col("rid2").alias("rid"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+import tempfile
 import time
 import uuid
 from dataclasses import asdict, dataclass
@@ -19,6 +20,17 @@ from pyspark.sql import DataFrame, SparkSession
 STALE = 120_000
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where it is unset a local session gets a temporary one; on a cluster, where each machine has its own disk, that is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="ebbmark-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
 @dataclass(frozen=True)
 class Manifest:
     version: int = 0
