@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,14 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import shared_root
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder (not yet made) below spark.checkpoint.dir; where that is unset, as in tests, below a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="ebbmark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/ebbmark-{uuid.uuid4().hex}"
+    """A new folder (not yet made) below spark.checkpoint.dir."""
+    return f"{shared_root(spark)}/ebbmark-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:
