@@ -7,6 +7,7 @@ for many rows use extend, append_frame, at_each and the operators on frames.
 
 from __future__ import annotations
 
+import bisect
 import itertools
 import json
 import operator
@@ -44,6 +45,38 @@ def bounds_of(key: slice) -> tuple[int | None, int | None]:
     return None if key.start is None else timestamp(key.start), None if key.stop is None else timestamp(key.stop)
 
 
+def union(deletes: Iterable[tuple[int, int, int | None]]) -> list[tuple[int, int | None]]:
+    """The ranges that deletes cover together, apart and in order; an end of None is none."""
+    out: list[tuple[int, int | None]] = []
+    for _, a, b in sorted(deletes, key=lambda x: x[1]):
+        if out and (out[-1][1] is None or a <= out[-1][1]):
+            last, end = out[-1]
+            out[-1] = (last, None if end is None or b is None else max(end, b))
+        else:
+            out.append((a, b))
+    return out
+
+
+def meets(ranges: list[tuple[int, int | None]], first: int, last: int) -> bool:
+    """Whether one of the ranges of a union holds a timestamp from first to last."""
+    k = bisect.bisect_right(ranges, last, key=lambda x: x[0])
+    return k > 0 and (ranges[k - 1][1] is None or ranges[k - 1][1] > first)
+
+
+def clipped(deletes: Iterable[tuple[int, int, int | None]], spans: Iterable[tuple[int, int]]) -> list[tuple[int, int, int | None]]:
+    """Deletes that hold a timestamp of a span (its first and last), cut to the spans that they meet."""
+    whole = union((0, a, None if b == MOST else b + 1) for a, b in spans)
+    out = []
+    for seq, a, b in deletes:
+        lo = bisect.bisect_right(whole, a, key=lambda x: x[0])
+        lo -= lo > 0 and (whole[lo - 1][1] is None or whole[lo - 1][1] > a)
+        hi = len(whole) if b is None else bisect.bisect_left(whole, b, key=lambda x: x[0])
+        if lo < hi:
+            end = whole[hi - 1][1]
+            out.append((seq, max(a, whole[lo][0]), end if b is None else b if end is None else min(b, end)))
+    return out
+
+
 class Log:
     def __init__(self, spark: SparkSession, path: str, schema: str | None = None, *, min_ts: int | None = None, mostly_ordered_default: bool = True, **options):
         """schema: the payload's columns as DDL; without one a payload is a JSON value."""
@@ -193,7 +226,10 @@ class Log:
         if n:
             self._seq, self._rid = seq, top + 1
             self._adaptive = adaptive.observe(self._adaptive, self.config.adaptive, n, a, b)
-            self._commit(deltas=(*self._m.deltas, name))
+            self._commit(**self._added(name, n, a, b))
+
+    def _added(self, name: str, rows: int, first: int, last: int) -> dict:
+        return {"deltas": (*self._m.deltas, name), "sizes": (*self._m.sizes, (rows, first, last, self._store.size(name)))}
 
     # Deletes
 
@@ -279,10 +315,10 @@ class Log:
         return self.all()
 
     def __len__(self) -> int:
-        return self.frame().count()
+        return self.snapshot().count()
 
     def count_range(self, t1, t2) -> int:
-        return self.frame(timestamp(t1), timestamp(t2)).count()
+        return self.snapshot().count(timestamp(t1), timestamp(t2))
 
     def _one(self, rows: DataFrame) -> int | None:
         return rows.head()[0]
@@ -316,11 +352,10 @@ class Log:
         if t1 > t2:
             raise ValueError("a range must not end before it starts")
         m, out = self._m, []
-        for folders in (m.windows, m.deltas):
-            for folder in folders:
-                table = self.spark.read.parquet(f"{self.path}/{folder}")
-                rows = physical.file_spans(table, t1, t2).orderBy("start_ts", "file").collect()
-                out += [Span(self, r["file"], r["start_ts"], r["last_ts"], r["rows"], t1, t2) for r in rows]
+        tables = [self._store.folder(entry) for entry in m.windows] + [self.spark.read.parquet(f"{self.path}/{name}") for name in m.deltas]
+        for table in tables:
+            rows = physical.file_spans(table, t1, t2).orderBy("start_ts", "file").collect()
+            out += [Span(self, r["file"], r["start_ts"], r["last_ts"], r["rows"], t1, t2) for r in rows]
         return out
 
     page_spans = views
@@ -348,7 +383,7 @@ class Log:
         stamps, before = [r[1] for r in self._buffer], self._adaptive
         self._adaptive = adaptive.observe(before, self.config.adaptive, len(stamps), min(stamps), max(stamps))
         try:
-            self._commit(deltas=(*self._m.deltas, name))
+            self._commit(**self._added(name, len(stamps), min(stamps), max(stamps)))
         except FileExistsError:
             self._adaptive = before
             raise
@@ -393,21 +428,47 @@ class Log:
         self._check()
         self._working = False
 
+    def _oldest(self, window: int) -> int:
+        """How many folders of appended rows the next compaction takes: the oldest, up to the caps on their number, their bytes, and the windows from their first to their last; one at least."""
+        c, sizes = self.config, self._m.sizes
+        taken, first, last, size = 0, MOST, LEAST, 0
+        for _, a, b, n in sizes[: c.compaction_max_inputs or None]:
+            first, last, size = min(first, a), max(last, b), size + n
+            windows = (last - c.window_origin) // window - (first - c.window_origin) // window + 1
+            if taken and ((c.compaction_target_bytes and size > c.compaction_target_bytes) or (c.compaction_max_windows and windows > c.compaction_max_windows)):
+                break
+            taken += 1
+        return taken
+
     def compact_now(self) -> DataFrame:
-        """Rewrites appended files into window folders, and returns the rows that deletes removed. With a cap on inputs the oldest files are taken, and deletes stay, as other files may hold rows for them."""
+        """Moves appended rows into windows, and returns the rows that deletes removed. Rewritten are those windows alone that get rows or in which deletes lie, the latter up to the cap on windows; the others' files stay. Of a delete remains what other files may hold rows for."""
         self.flush()
         m, c = self._m, self.config
-        some = m.deltas[: c.compaction_max_inputs] if c.compaction_max_inputs else m.deltas
-        whole = len(some) == len(m.deltas)
-        taken = Manifest(deltas=some, windows=m.windows)
-        rows = self._store.read(taken)
-        deletes = self.spark.createDataFrame(self._deletes, "seq long, t1 long, t2 long")
-        window = self.window()
-        kept = physical.compacted(rows, deletes, window, c.window_origin).repartition("window_id").sortWithinPartitions("window_id", "ts", "seq")
-        name = self._store.write(kept, f"windows-{m.version + 1:012}", by="window_id")
-        if whole:
-            self._deletes = []
-        self._commit(deltas=m.deltas[len(some) :], windows=(name,), window=window, deletes=tuple(self._deletes))
+        window, n = self.window(), self._oldest(self.window())
+        taken, deletes = m.deltas[:n], self.spark.createDataFrame(self._deletes, "seq long, t1 long, t2 long")
+        touched = {r[0] for r in physical.with_window(self._store.read(Manifest(deltas=taken)), window, c.window_origin).select("window_id").distinct().collect()} if taken else set()
+        cuts = union(self._deletes)
+        for w, _, a, b in sorted(x for _, _, windows in m.windows for x in windows):
+            if meets(cuts, a, b) and (not c.compaction_max_windows or len(touched) < c.compaction_max_windows):
+                touched.add(w)
+        old, left = [], []
+        for name, whole, windows in m.windows:
+            inside = tuple(x for x in windows if x[0] in touched)
+            outside = tuple(x for x in windows if x[0] not in touched)
+            if inside:
+                old.append((name, whole and not outside, inside))
+            if outside:
+                left.append((name, whole and not inside, outside))
+        others = [(a, b) for _, a, b, _ in m.sizes[n:]] + [(a, b) for _, _, windows in left for _, _, a, b in windows]
+        rows = self._store.read(Manifest(deltas=taken, windows=tuple(old)))
+        if taken or old:
+            kept = physical.compacted(rows, deletes, window, c.window_origin).repartitionByRange("window_id", "ts").sortWithinPartitions("window_id", "ts", "seq")
+            name = self._store.write(kept, f"windows-{m.version + 1:012}", by="window_id")
+            new = self._store.folder((name, True, ())).groupBy("window_id").agg(F.count("*"), F.min("ts"), F.max("ts")).collect()
+            if new:
+                left.append((name, True, tuple(sorted(map(tuple, new)))))
+        self._deletes = clipped(self._deletes, others)
+        self._commit(deltas=m.deltas[n:], sizes=m.sizes[n:], windows=tuple(left), window=window if left else m.window, deletes=tuple(self._deletes))
         return physical.dropped(rows, deletes)
 
     def vacuum(self, *snapshots: Snapshot) -> list[str]:
@@ -461,6 +522,34 @@ class Snapshot:
             rows = rows.unionAll(log.spark.createDataFrame(list(self._buffer), log._schema))
         return rows
 
+    def count(self, t1: int | None = None, t2: int | None = None) -> int:
+        """Visible rows. Folders and windows that lie in the range whole, and in which no delete lies, are counted from the manifest; the others are read."""
+        m, cuts = self.manifest, union(self._deletes)
+        if t1 is not None and t2 is not None and t1 >= t2:
+            return 0
+
+        def known(a: int, b: int) -> bool:
+            return (t1 is None or t1 <= a) and (t2 is None or b < t2) and not meets(cuts, a, b)
+
+        def outside(a: int, b: int) -> bool:
+            return (t1 is not None and b < t1) or (t2 is not None and a >= t2)
+
+        total, deltas, windows = 0, [], []
+        for name, (n, a, b, _) in zip(m.deltas, m.sizes, strict=True):
+            total += n if known(a, b) else 0
+            if not known(a, b) and not outside(a, b):
+                deltas.append(name)
+        for name, whole, entries in m.windows:
+            total += sum(n for _, n, a, b in entries if known(a, b))
+            rest = tuple(x for x in entries if not known(*x[2:]) and not outside(*x[2:]))
+            if rest:
+                windows.append((name, whole and len(rest) == len(entries), rest))
+        rows = self.log._store.read(Manifest(deltas=tuple(deltas), windows=tuple(windows))) if deltas or windows else None
+        if self._buffer:
+            waiting = self.log.spark.createDataFrame(list(self._buffer), self.log._schema)
+            rows = waiting if rows is None else rows.unionAll(waiting)
+        return total if rows is None else total + visible(rows, self.delete_table(), t1, t2, self.seq).count()
+
     def delete_table(self) -> DataFrame:
         return self.log.spark.createDataFrame(list(self._deletes), "seq long, t1 long, t2 long")
 

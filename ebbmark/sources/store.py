@@ -12,9 +12,11 @@ import tempfile
 import time
 import uuid
 from dataclasses import asdict, dataclass
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Milliseconds after which a claim whose writer wrote no manifest is void.
 STALE = 120_000
@@ -33,16 +35,23 @@ def shared_root(spark: SparkSession) -> str:
 
 @dataclass(frozen=True)
 class Manifest:
+    """Sizes are what counts and the choice of a compaction's inputs are made from: one entry for each folder of appended rows and each window, never for rows."""
+
     version: int = 0
     seq: int = 0
     next_rid: int = 0
     deltas: tuple[str, ...] = ()  # folders of appended rows, in order
-    windows: tuple[str, ...] = ()  # folders of compacted rows, partitioned by window_id
+    windows: tuple[tuple, ...] = ()  # of folders of compacted rows, partitioned by window_id: (folder, whether all its windows are in use, (window_id, rows, first ts, last ts) of those that are)
+    sizes: tuple[tuple, ...] = ()  # of each of deltas: (rows, first ts, last ts, bytes)
     deletes: tuple[tuple[int, int, int | None], ...] = ()  # (seq, t1, t2) that compaction has not used up
     window: int = 0  # of the grid that the compacted rows are in; fixed by the first compaction
     adaptive: tuple[float | None, int, int, int] = (None, 0, 0, 0)  # density, flushes, the last one that updated it, failures
 
 
+def _tuples(value):
+    return tuple(map(_tuples, value)) if isinstance(value, list) else value
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str, schema: str):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
@@ -61,7 +70,7 @@ class Store:
             raw = json.loads(bytes(stream.readAllBytes()))
         finally:
             stream.close()
-        return Manifest(**{k: tuple(tuple(x) if isinstance(x, list) else x for x in v) if isinstance(v, list) else v for k, v in raw.items()})
+        return Manifest(**{k: _tuples(v) for k, v in raw.items()})
 
     def commit(self, manifest: Manifest) -> None:
         """Refuses a number that another writer took. A writer claims the number by creating a file, which only one can; a claim without a manifest is void after STALE milliseconds. The manifest then appears whole, by a rename."""
@@ -91,28 +100,31 @@ class Store:
         (writer.partitionBy(by) if by else writer).parquet(f"{self.path}/{name}")
         return name
 
+    def size(self, name: str) -> int:
+        """Bytes of a folder."""
+        return self._fs.getContentSummary(self._path(f"{self.path}/{name}")).getLength()
+
+    def folder(self, entry: tuple) -> DataFrame:
+        """Rows of the windows that are in use of a folder of compacted rows; window_id is a partition column, so filters on it prune folders."""
+        name, whole, windows = entry
+        rows = self.spark.read.schema(f"{self.schema}, window_id BIGINT").parquet(f"{self.path}/{name}")
+        return rows if whole else rows.filter(F.col("window_id").isin([w[0] for w in windows]))
+
     def read(self, manifest: Manifest) -> DataFrame:
         """All inserts: seq, ts, rid and the payload's columns."""
-        out = self.spark.createDataFrame([], self.schema)
-        columns = out.columns
-        if manifest.deltas:
-            out = self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{d}" for d in manifest.deltas]).select(*columns)
-        for folder in manifest.windows:
-            part = self.spark.read.schema(f"{self.schema}, window_id BIGINT").parquet(f"{self.path}/{folder}")
-            out = part.select(*columns) if not manifest.deltas and folder == manifest.windows[0] else out.unionAll(part.select(*columns))
-        return out
+        empty = self.spark.createDataFrame([], self.schema)
+        parts = [self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{d}" for d in manifest.deltas])] if manifest.deltas else []
+        parts += [self.folder(entry) for entry in manifest.windows]
+        return reduce(DataFrame.unionAll, [p.select(*empty.columns) for p in parts]) if parts else empty
 
     def read_windows(self, manifest: Manifest) -> DataFrame | None:
-        """Compacted rows with their window_id, a partition column, so a filter on it prunes folders."""
-        parts = [self.spark.read.schema(f"{self.schema}, window_id BIGINT").parquet(f"{self.path}/{f}") for f in manifest.windows]
-        out = None
-        for p in parts:
-            out = p if out is None else out.unionByName(p)
-        return out
+        """Compacted rows with their window_id."""
+        parts = [self.folder(entry) for entry in manifest.windows]
+        return reduce(DataFrame.unionByName, parts) if parts else None
 
     def vacuum(self, keep: list[Manifest]) -> list[str]:
         """Removes data folders that none of the manifests names; their names."""
-        used = {name for m in keep for name in (*m.deltas, *m.windows)}
+        used = {name for m in keep for name in (*m.deltas, *(entry[0] for entry in m.windows))}
         gone = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.path)) if s.isDirectory() and s.getPath().getName() != "manifests" and s.getPath().getName() not in used]
         for name in gone:
             self._fs.delete(self._path(f"{self.path}/{name}"), True)

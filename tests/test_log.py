@@ -1,8 +1,10 @@
+import random
+
 import pytest
 
 from ebbmark.errors import LogError
 from ebbmark.functions.scalar import LEAST, MOST
-from ebbmark.log import Log, timestamp
+from ebbmark.log import Log, clipped, meets, timestamp, union
 from ebbmark.operators.adaptive import Adaptive, State, nearest_multiple, next_window, observe
 
 
@@ -100,6 +102,98 @@ def test_compaction_with_a_cap_keeps_deletes(spark, tmp_path):
     assert [t for t, _ in log] == [1, 3]
 
 
+def test_compaction_rewrites_only_what_it_must(spark, tmp_path):
+    log = Log(spark, f"file://{tmp_path}/log", maintenance="disabled", window_size=10)
+    log.extend([(t, t) for t in range(60)], insert_on_error=False)
+    log.compact_now()
+    (first, _, _), = log._m.windows
+    old = log.snapshot()
+    log.append(25, "new")
+    log.delete_range(41, 43)
+    gone = log.compact_now()
+    assert sorted(r["ts"] for r in gone.collect()) == [41, 42]
+    windows = {name: [w[0] for w in entries] for name, _, entries in log._m.windows}
+    assert windows.pop(first) == [0, 1, 3, 5] and list(windows.values()) == [[2, 4]] and log._deletes == []
+    assert [t for t, _ in log] == sorted([*range(41), 25, *range(43, 60)]) and old.count() == len(old.all()) == 60
+    assert sum(map(len, log.views())) == 59
+    log.validate()
+    again = Log(spark, f"file://{tmp_path}/log", maintenance="disabled")
+    assert len(again) == 59 and again._m == log._m
+    log.delete_before(60)
+    assert sum(1 for _ in log.compact_now().collect()) == 59 and len(log) == 0 and log._m.windows == () and log._deletes == []
+    assert list(log) == [] and first in log.vacuum()
+
+
+def test_caps_of_compaction(spark, tmp_path):
+    log = Log(spark, f"file://{tmp_path}/log", maintenance="disabled", window_size=10, compaction_max_windows=2)
+    for a in (0, 10, 20, 30):
+        log.extend([(t, t) for t in range(a, a + 10)], insert_on_error=False)
+        log.flush()
+    log.compact_now()
+    assert [w[0] for _, _, entries in log._m.windows for w in entries] == [0, 1] and len(log._m.deltas) == 2
+    log.compact_now()
+    log.delete_range(5, 35)
+    assert len(log.compact_now().collect()) == 15 and log._deletes == [(5, 20, 35)] and len(log) == 10
+    assert len(log.compact_now().collect()) == 15 and log._deletes == [] and [t for t, _ in log] == [*range(5), *range(35, 40)]
+    small = Log(spark, f"file://{tmp_path}/small", maintenance="disabled", compaction_target_bytes=1)
+    for t in (1, 2):
+        small.append(t, t)
+        small.flush()
+    small.compact_now()
+    assert len(small._m.deltas) == 1 and len(small) == 2
+
+
+def test_counts_from_the_manifest(spark, tmp_path):
+    log = Log(spark, f"file://{tmp_path}/log", maintenance="disabled", window_size=10)
+    log.extend([(t, t) for t in range(100)], insert_on_error=False)
+    log.compact_now()
+    log.extend([(t, t) for t in range(50, 60)], insert_on_error=False)
+    log.flush()
+    snapshot, read = log.snapshot(), []
+    log._store.read = lambda m, get=log._store.read: (read.append([w[0] for _, _, entries in m.windows for w in entries]), get(m))[1]
+    assert len(log) == 110 and log.count_range(20, 60) == 50 and log.count_range(7, 7) == 0 and read == []
+    assert log.count_range(15, 43) == 28 and read == [[1, 4]]
+    log.delete_range(71, 75)
+    log.append(3, "waits")
+    assert len(log) == 107 and read[1:] == [[7]] and log.count_range(0, 10) == 11 and snapshot.count() == 110
+
+
+def test_any_order_of_writes_and_compactions(spark, tmp_path):
+    draw = random.Random(5)
+    log = Log(spark, f"file://{tmp_path}/log", maintenance="disabled", window_size=7, window_origin=3, compaction_max_inputs=2, compaction_max_windows=3)
+    model, dropped, removed = [], [], []
+    for step in range(24):
+        what = draw.choice(["add", "add", "flush", "cut", "compact"])
+        if what == "add":
+            new = [(draw.randrange(-30, 30), step * 100 + k) for k in range(draw.randrange(1, 9))]
+            log.extend(new, insert_on_error=False)
+            model += new
+        elif what == "cut":
+            a = draw.randrange(-30, 30)
+            b = a + draw.randrange(1, 15)
+            log.delete_range(a, b)
+            removed += [x for x in model if a <= x[0] < b]
+            model = [x for x in model if not a <= x[0] < b]
+        elif what == "flush":
+            log.flush()
+        else:
+            dropped += [(r["ts"], int(r["payload"])) for r in log.compact_now().collect()]
+            assert sorted(log) == sorted(model)
+        assert len(log) == len(model) and log.count_range(-9, 11) == sum(-9 <= t < 11 for t, _ in model)
+    while log._m.deltas or log._buffer or log._deletes:
+        dropped += [(r["ts"], int(r["payload"])) for r in log.compact_now().collect()]
+    assert sorted(log) == sorted(model) and sorted(dropped) == sorted(removed)
+    log.validate()
+
+
+def test_ranges_of_deletes():
+    ranges = union([(1, 5, 9), (2, 0, 3), (3, 3, 4), (4, 20, None), (5, 30, 40)])
+    assert ranges == [(0, 4), (5, 9), (20, None)]
+    assert [meets(ranges, a, b) for a, b in ((4, 4), (3, 3), (9, 19), (8, 9), (9, 20), (MOST, MOST), (LEAST, -1))] == [False, True, False, True, True, True, False]
+    assert clipped([(1, 0, 100), (2, 12, 14), (3, 25, None), (4, LEAST, 6)], [(5, 9), (20, 30)]) == [(1, 5, 31), (3, 25, 31), (4, 5, 6)]
+    assert clipped([(1, 0, None)], [(7, MOST)]) == [(1, 7, None)] and clipped([(1, 0, 9)], []) == []
+
+
 def test_iterators(log):
     log.extend([(t, t) for t in range(10)], insert_on_error=False)
     rows = log.since(4)
