@@ -13,6 +13,7 @@ import json
 import operator
 import time
 from collections.abc import Iterable, Iterator
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -441,8 +442,16 @@ class Log:
         return taken
 
     def compact_now(self) -> DataFrame:
-        """Moves appended rows into windows, and returns the rows that deletes removed. Rewritten are those windows alone that get rows or in which deletes lie, the latter up to the cap on windows; the others' files stay. Of a delete remains what other files may hold rows for."""
+        """Moves appended rows into windows, and returns the rows that deletes removed. Rewritten are those windows alone that get rows or in which deletes lie, the latter up to the cap on windows; the others' files stay. Of a delete remains what other files may hold rows for. A failure leaves the log as it was, and is counted until a compaction succeeds."""
         self.flush()
+        before = self._adaptive
+        try:
+            return self._rewritten()
+        except Exception:
+            self._adaptive = replace(before, failures=before.failures + 1)
+            raise
+
+    def _rewritten(self) -> DataFrame:
         m, c = self._m, self.config
         window, n = self.window(), self._oldest(self.window())
         taken, deletes = m.deltas[:n], self.spark.createDataFrame(self._deletes, "seq long, t1 long, t2 long")
@@ -467,8 +476,10 @@ class Log:
             new = self._store.folder((name, True, ())).groupBy("window_id").agg(F.count("*"), F.min("ts"), F.max("ts")).collect()
             if new:
                 left.append((name, True, tuple(sorted(map(tuple, new)))))
-        self._deletes = clipped(self._deletes, others)
-        self._commit(deltas=m.deltas[n:], sizes=m.sizes[n:], windows=tuple(left), window=window if left else m.window, deletes=tuple(self._deletes))
+        remain = clipped(self._deletes, others)
+        self._adaptive = replace(self._adaptive, failures=0)
+        self._commit(deltas=m.deltas[n:], sizes=m.sizes[n:], windows=tuple(left), window=window if left else m.window, deletes=tuple(remain))
+        self._deletes = remain
         return physical.dropped(rows, deletes)
 
     def vacuum(self, *snapshots: Snapshot) -> list[str]:

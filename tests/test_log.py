@@ -1,4 +1,5 @@
 import random
+from dataclasses import replace
 
 import pytest
 
@@ -124,6 +125,26 @@ def test_compaction_rewrites_only_what_it_must(spark, tmp_path):
     assert list(log) == [] and first in log.vacuum()
 
 
+def test_a_failed_compaction_changes_nothing(spark, tmp_path):
+    options = dict(maintenance="disabled", window_size=1000, adaptive={"target_records": 10, "alpha": 0.5, "failure_backoff_threshold": 2, "failure_backoff_pct": 50})
+    a, b = (Log(spark, f"file://{tmp_path}/log", **options) for _ in range(2))
+    a.extend([(t, t) for t in range(20)], insert_on_error=False)
+    a.delete_range(3, 8)
+    a.flush()
+    b.append(1, "first")
+    b._m = replace(a._m, deltas=(), sizes=())  # another writer that takes the next number
+    b.flush()
+    before = a.window()
+    for failures in (1, 2):
+        with pytest.raises(FileExistsError):
+            a.compact_now()
+        assert a.stats()["adaptive"]["failures"] == failures and len(a) == 15 and a._deletes == [(2, 3, 8)]
+    assert (before, a.window()) == (10, 15)
+    a._m = replace(a._m, version=b._m.version)  # as if there were no other writer
+    a.compact_now()
+    assert a.stats()["adaptive"]["failures"] == 0 and len(a) == 15 and a._m.window == 15
+
+
 def test_caps_of_compaction(spark, tmp_path):
     log = Log(spark, f"file://{tmp_path}/log", maintenance="disabled", window_size=10, compaction_max_windows=2)
     for a in (0, 10, 20, 30):
