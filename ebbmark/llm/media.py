@@ -430,29 +430,34 @@ def finds(data: bytes) -> list[Find]:
     return out
 
 
+_CARVED = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("bytes", pa.binary())]))
+
+
+def _sniffed(batch: pa.RecordBatch, value: str, declared: str) -> pa.RecordBatch:
+    rows = []
+    for data, told in zip(batch.column(value).to_pylist(), batch.column(declared).to_pylist(), strict=True):
+        found = finds(data or b"")
+        whole = found[0] if found and not found[0].start else None
+        carved = [{"type": f.kind, "start": f.start, "length": f.length, "bytes": data[f.start : f.start + f.length]} for f in found if f.start]
+        rows.append((whole.kind if whole else told, whole is not None, whole is not None and whole.kind != told, carved))
+    columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.bool_(), pa.bool_(), _CARVED))]
+    return pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "found_type", "confirmed", "corrected", "carved"])
+
+
 def sniff(df: DataFrame, value: str = "media", declared: str = "type") -> DataFrame:
     """df with columns found_type (of what stands at the start, else as declared), confirmed, corrected, carved: array of (type, start, length, bytes) of media further on. Columns of these names are replaced."""
     new = "found_type string, confirmed boolean, corrected boolean, carved array<struct<type:string,start:long,length:long,bytes:binary>>"
     kept = df.select(*[c for c in df.columns if c not in ("found_type", "confirmed", "corrected", "carved")])
-    carved_type = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("bytes", pa.binary())]))
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
-        for data, told in zip(batch.column(value).to_pylist(), batch.column(declared).to_pylist(), strict=True):
-            found = finds(data or b"")
-            whole = found[0] if found and not found[0].start else None
-            carved = [{"type": f.kind, "start": f.start, "length": f.length, "bytes": data[f.start : f.start + f.length]} for f in found if f.start]
-            rows.append((whole.kind if whole else told, whole is not None, whole is not None and whole.kind != told, carved))
-        columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.bool_(), pa.bool_(), carved_type))]
-        return pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "found_type", "confirmed", "corrected", "carved"])
-
-    return map_batches(kept, run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + [new]), rows=ROWS)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + [new])
+    return map_batches(kept, lambda batch: _sniffed(batch, value, declared), schema, rows=ROWS)
 
 
 #: Rows that are in Python at once.
 ROWS = 256
 #: Payloads are padded to a multiple of UNIT with PAD, and stored as sounds of RATE 8-bit samples a second.
 UNIT, PAD, RATE = 192, b" ", 8000
+#: The declared type of stored texts.
+UNKNOWN = "application/octet-stream"
 
 
 def wav(samples: bytes, rate: int = RATE) -> bytes:
@@ -480,31 +485,42 @@ def features(samples: bytes) -> str:
     return f"samples={len(x)};mean={int(x.sum(dtype=np.int64)) / len(x):.4f};rms={(square / len(x)) ** 0.5:.4f};crossings={crossings}"
 
 
+def _stored(batch: pa.RecordBatch) -> pa.RecordBatch:
+    texts = [x.encode() for x in batch.column("text").to_pylist()]
+    types = {"key": pa.int64(), "n_bytes": pa.int64(), "media": pa.binary(), "type": pa.string()}
+    return arrays(types, {"key": batch.column("key").to_pylist(), "n_bytes": [len(x) for x in texts], "media": [wav(padded(x)) for x in texts], "type": [UNKNOWN] * len(texts)})
+
+
 def stored_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, media, type): each text's bytes, padded, as a sound; declared as unknown bytes, as a crawler would."""
-    types = {"key": pa.int64(), "n_bytes": pa.int64(), "media": pa.binary()}
+    rows = docs.select(F.col(key).cast("long").alias("key"), text_of(text).alias("text"))
+    return map_batches(rows, _stored, "key long, n_bytes long, media binary, type string", rows=ROWS).withColumnRenamed("key", key)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [x.encode() for x in batch.column("text").to_pylist()]
-        return arrays(types, {"key": batch.column("key").to_pylist(), "n_bytes": [len(x) for x in texts], "media": [wav(padded(x)) for x in texts]})
 
-    rows = docs.select(F.col(key).cast("long").alias("key"), text_of(text).alias("text"))
-    return map_batches(rows, run, "key long, n_bytes long, media binary").select(F.col("key").alias(key), "n_bytes", "media", F.lit("application/octet-stream").alias("type"))
+_READ = {
+    "key": pa.int64(), "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(),
+    "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "found_type": pa.string(), "corrected": pa.bool_(),
+}
+_READ_SCHEMA = "key long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, found_type string, corrected boolean"
+
+
+def _read(batch: pa.RecordBatch) -> pa.RecordBatch:
+    rows = []
+    for k, n, media, kind, corrected in zip(*(batch.column(c).to_pylist() for c in ("key", "n_bytes", "media", "found_type", "corrected")), strict=True):
+        if kind != "audio/wav":
+            raise ValueError(f"{kind} has no samples")
+        payload = wav_samples(media)
+        rows.append((k, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), f"{kind};{features(payload)}", kind, corrected))
+    return arrays(_READ, {name: [r[i] for r in rows] for i, name in enumerate(_READ)})
 
 
 def read_media(stored: DataFrame, key: str = "doc_id") -> DataFrame:
-    """From sniffed sounds alone: key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature."""
-    names = ("key", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
-    types = {n: pa.string() if n in ("payload_sha256", "media_sha256", "feature") else pa.int64() for n in names}
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
-        for k, n, media, kind in zip(*(batch.column(c).to_pylist() for c in (key, "n_bytes", "media", "found_type")), strict=True):
-            if kind != "audio/wav":
-                raise ValueError(f"{kind} has no samples")
-            payload = wav_samples(media)
-            rows.append((k, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), f"{kind};{features(payload)}"))
-        return arrays(types, {name: [r[i] for r in rows] for i, name in enumerate(names)})
-
-    schema = ", ".join(f"{n} {'string' if t == pa.string() else 'long'}" for n, t in types.items())
-    return map_batches(stored.select(key, "n_bytes", "media", "found_type"), run, schema).withColumnRenamed("key", key)
+    """From sniffed sounds alone: key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, found_type, corrected."""
+    rows = stored.select(F.col(key).alias("key"), "n_bytes", "media", "found_type", "corrected")
+    return map_batches(rows, _read, _READ_SCHEMA, rows=ROWS).withColumnRenamed("key", key)
+
+
+def store_and_read(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """read_media of sniffed stored_media, with few rows at once going through all three in one Python worker. Repeated rows give equal rows, and null or empty texts a sound of padding."""
+    rows = docs.select(F.col(key).cast("long").alias("key"), text_of(text).alias("text"))
+    return map_batches(rows, lambda batch: _read(_sniffed(_stored(batch), "media", "type")), _READ_SCHEMA, rows=ROWS).withColumnRenamed("key", key)

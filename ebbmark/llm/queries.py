@@ -69,7 +69,7 @@ def op8_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.read_media(media.sniff(media.stored_media(table(spark, sf_dir, "documents"))))
+    return media.store_and_read(table(spark, sf_dir, "documents"))
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

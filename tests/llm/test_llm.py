@@ -641,7 +641,10 @@ def test_stored_texts(odd, none):
         payload = t + b" " * (-len(t) % 192 if t else 192)
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(t), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
         assert r["media_bytes"] == len(payload) + 44 and r["feature"].startswith("audio/wav;samples=")
-    assert media.read_media(media.sniff(media.stored_media(none))).count() == 0
+    assert media.read_media(media.sniff(media.stored_media(none))).count() == media.store_and_read(none).count() == 0
+    clash = odd.withColumn("media", F.lit(1)).withColumn("key", F.lit(2))
+    assert sorted(media.store_and_read(clash).collect(), key=str) == sorted(got, key=str)
+    assert {(r["found_type"], r["corrected"]) for r in got} == {("audio/wav", True)}
 
 
 # Pipeline
