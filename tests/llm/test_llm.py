@@ -125,6 +125,19 @@ def test_exact_groups_odd(odd, none):
     assert sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 5, 6, 7, 8, 9, 10] and kept.columns == [*odd.columns, "kept"]
 
 
+def test_hot_groups_are_spread(spark):
+    copies, other = 400, 100
+    rows = [(7 if k % 2 else k, "hot " * 40, "s") for k in range(copies)] + [(1000 + k, f"{k}", "s") for k in range(other)] + [(2000 + k, "b" * 64 + "c" * (k % 2), "s") for k in range(other)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    got = {(r["doc_id"], r["keep_id"], r["group_size"]) for r in exactdup.exact_groups(docs).collect()}
+    assert got == {(k, max(k for k, u, _ in rows if u == t), sum(u == t for _, u, _ in rows)) for k, t, _ in rows}
+    head = spark.createDataFrame([(k, "a" if k else "b") for k in [1] * 300 + [0]], "k long, chunk string")
+    groups = head.groupBy("chunk").agg(F.count("*").alias("n"))
+    left, right = exactdup.spread(head, groups, ["chunk"], 4)
+    assert left.groupBy("chunk", "part").count().agg(F.max("count")).head()[0] <= 76 and right.filter("chunk = 'a'").count() == 4
+    assert left.join(right, ["chunk", "part"]).count() == 301
+
+
 def test_copies_under_a_key_of_several_texts(spark):
     rows = [(1, "a", "x"), (1, "own", "x"), (2, "a", "x"), (1, None, "x"), (1, "", "x"), (2, "b", "x"), (3, "b", "x"), (4, "c", "x"), (4, "c", "x")]
     kept = exactdup.drop_copies(spark.createDataFrame(rows, SCHEMA)).collect()
