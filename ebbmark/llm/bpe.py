@@ -4,7 +4,9 @@ The merges run in the tokenizers library's BPE model, which works on characters:
 printable character before, and back after decoding. Texts come in Arrow batches. A text is cut where a space stands
 between two visible characters: no match of the pattern reaches over such a place, so the pieces encode separately, and
 repeated pieces are encoded once for each worker, in caches that are bounded by bytes and hold no long piece. Null texts
-count as empty; an empty text has no ids; repeated rows encode alike, and very long texts and pieces as a whole.
+count as empty; an empty text has no ids; repeated rows encode alike, and very long texts and pieces as a whole. A .json
+file's added tokens, where a text holds their strings, are these tokens, as the library's plain call has it; .tiktoken files
+hold none, so there such strings are text.
 """
 
 from __future__ import annotations
@@ -91,7 +93,9 @@ class Codec:
             self.library.decoder = decoders.ByteLevel()
         else:
             self.library = Tokenizer.from_file(path)
-            self.library.encode_special_tokens = True
+            self.library.encode_special_tokens = True  # pieces between added tokens are plain text
+        self.added = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
+        self.added_at = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.size = self.library.get_vocab_size()
         self.token = [b""] * self.size
         for shown_token, i in self.library.get_vocab().items():
@@ -121,7 +125,12 @@ class Codec:
         return self._piece(" " + piece)
 
     def encode_bytes(self, text: str) -> bytes:
-        """The ids as unsigned 32-bit integers in the machine's order."""
+        """The ids as unsigned 32-bit integers in the machine's order. Strings of the file's added tokens are these tokens, as in the library."""
+        if self.added_at is None or not self.added_at.search(text):
+            return self._plain_bytes(text)
+        return b"".join([array("I", [self.added[x]]).tobytes() if x in self.added else self._plain_bytes(x) for x in self.added_at.split(text)])
+
+    def _plain_bytes(self, text: str) -> bytes:
         pieces = _CUT.split(text) if _TWO_SPACES.search(text) else text.split(" ")
         return self.head[pieces[0]] + b"".join(map(self.tail.__getitem__, pieces[1:]))
 
