@@ -1,6 +1,7 @@
 import collections
 import itertools
 import math
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,6 +83,46 @@ def test_quantile_truncates(spark):
     assert {r["percent"]: r["value"] for r in analytics.quantile(values, "v", (0.0, 50.0, 95.0, 100.0)).collect()} == {0.0: 10.0, 50.0: 20.0, 95.0: 20.0, 100.0: 30.0}
 
 
+def shuffled(spark) -> int:
+    """Bytes that all stages so far have written to shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_sample_stats_moves_counts_not_values(spark):
+    rows = spark.range(1_000_000).select((F.xxhash64("id") % 50_000_000 / 100).alias("v"))
+    before = shuffled(spark)
+    got = analytics.sample_stats(rows, "v").head()
+    assert shuffled(spark) - before < 8e6  # of values, 27 MB were
+    want = rows.agg(F.percentile("v", 0.5).alias("m"), F.percentile("v", 0.95).alias("p")).head()
+    assert (got["median"], got["p95"]) == tuple(want)
+    assert got["mad"] == rows.agg(F.percentile(F.abs(F.col("v") - want["m"]), 0.5)).head()[0]
+
+
+def test_sample_stats_without_values(spark):
+    rows = spark.createDataFrame([(None,), (None,)], "v double")
+    assert [tuple(r) for r in analytics.sample_stats(rows, "v").collect()] == [(None, None, None)]
+    assert [tuple(r) for r in analytics.sample_stats(rows.limit(0), "v").collect()] == [(None, None, None)]
+
+
+@pytest.mark.parametrize("kind", ["double", "long", "decimal(20,3)"])
+def test_interpolated_percentiles_of_odd_values(spark, monkeypatch, kind):
+    monkeypatch.setattr(analytics, "CUTS", 32)
+    big = 1.7976931348623157e308
+    if kind == "double":
+        near = [2.0**k * (1 + d * 2**-52) for k in (-3, 0, 10) for d in range(-2, 40)]
+        values = [None, float("nan"), float("inf"), float("-inf"), 0.0, -0.0, 5e-324, -5e-324, big, -big, *near, *[-x for x in near], *[7.25] * 50]
+    else:
+        values = [None, 0, *range(-9, 60), *range(2**53 - 40, 2**53 + 40), *[-(2**45)] * 40]
+        values = values if kind == "long" else [None if v is None else Decimal(v) / 1000 for v in values]
+    rows = spark.createDataFrame([(v,) for v in values], f"v {kind}")
+    shares = (0.0, 0.001, 0.25, 0.5, 0.613, 0.95, 0.99, 1.0)
+    want = rows.agg(F.percentile("v", F.array(*[F.lit(s) for s in shares]))).head()[0]
+    assert repr(analytics.interpolated(rows, F.col("v"), shares)) == repr(want)
+
+
 def test_every_nth(spark):
     rows = spark.range(10).select(F.col("id").alias("ts"), F.col("id").alias("seq"), F.col("id").alias("rid"))
     assert [r["ts"] for r in scans.every_nth(rows, 3, 3).collect()] == [0, 3, 6]
